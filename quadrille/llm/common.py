@@ -78,3 +78,22 @@ def word_count(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def byte_texts(column) -> list[bytes]:
+    """UTF-8 bytes of an Arrow string column, null as empty; ``bytes.split()`` splits at 09-0D and 20, ``lower()`` is A-Z only."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def slices(texts: list[bytes], most_bytes: int = 1 << 20):
+    """Index ranges of consecutive texts of about ``most_bytes`` together (a longer text stands alone)."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most_bytes:
+            yield start, i
+            start, size = i, 0
+        size += len(t) + 1
+    if start < len(texts):
+        yield start, len(texts)
