@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dart, decontam, exact, kneser, mixing, warc
+from . import dart, decontam, exact, kneser, lbl, mixing, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart.near_duplicates(_table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
@@ -42,7 +50,7 @@ def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_dart_minhash, op5_warc_revisits, op6_source_mix, op8_decontamination, op9_kneser_ney_quality)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_dart_minhash, op3_skip_chain_pii, op4_log_bilinear, op5_warc_revisits, op6_source_mix, op8_decontamination, op9_kneser_ney_quality)}
 
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
