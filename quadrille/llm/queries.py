@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dart, decontam, exact, kneser, lbl, linechunks, mixing, pii, warc
+from . import dart, decontam, exact, htmltext, kneser, lbl, linechunks, mixing, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lstm_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_dart_minhash, op3_skip_chain_pii, op4_log_bilinear, op5_warc_revisits, op6_source_mix, op8_decontamination, op9_kneser_ney_quality, op10_line_chunks)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_dart_minhash, op3_skip_chain_pii, op4_log_bilinear, op5_warc_revisits, op6_source_mix, op7_lstm_main_text, op8_decontamination, op9_kneser_ney_quality, op10_line_chunks)}
 
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
