@@ -602,4 +602,9 @@ def to_frame(rel: Relation, names: list[str] | None = None) -> DataFrame:
     return rel.df.select(*columns) if columns else rel.df.select()
 
 
-__all__ = ["Compiler", "Context", "Unsupported", "ebv", "equal", "node", "parse_query", "to_frame"]
+def plain(df: DataFrame) -> DataFrame:
+    """Term structs as their lexical form."""
+    return df.select(*[F.col(c)["v"].alias(c) if kind.startswith("struct<k:") else F.col(c) for c, kind in df.dtypes])
+
+
+__all__ = ["Compiler", "Context", "Unsupported", "ebv", "equal", "node", "parse_query", "plain", "to_frame"]
