@@ -293,6 +293,142 @@ def copy_move_graph(spark, sf_dir):
     return d.quads.select(F.coalesce("g", F.lit("default")).alias("g"), "s", "p").groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
+TPCH = "@prefix : <http://example.org/tpch#> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . "
+
+
+def _mapped(spark: SparkSession, sf_dir: str, *tables: str) -> QuadDataset:
+    """Tables materialised as quads."""
+    from .dataset import TPCH as LAYOUT
+
+    return map_tables(spark, sf_dir, {t: LAYOUT[t] for t in tables}).as_quads()
+
+
+def _shacl(tables: tuple[str, ...], shape: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .shacl import validate
+
+        out = validate(_mapped(spark, sf_dir, *tables), TPCH + shape)
+        short = F.regexp_extract("component", "#(.*)ConstraintComponent$", 1)
+        return out.select(F.col("focus.v").alias("focus"), F.col("value.v").alias("value"), short.alias("component"))
+
+    return run
+
+
+def shacl_summary(spark, sf_dir):
+    from .shacl import summary, validate
+
+    shape = ":S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path :c_mktsegment ; sh:in ( \"BUILDING\" \"MACHINERY\" ) ; sh:severity sh:Warning ] , [ sh:path :c_acctbal ; sh:minInclusive 0.0 ] ."
+    return summary(validate(_mapped(spark, sf_dir, "customer"), TPCH + shape))
+
+
+#: name: (tables, shape, SQL for focus, value, component)
+SHACL: dict[str, tuple[tuple[str, ...], str, str]] = {
+    "shacl_min_count": (("customer", "orders"), ":S sh:targetClass :Customer ; sh:property [ sh:path [ sh:inversePath :orders.customer ] ; sh:minCount 5 ] .", f"SELECT {C} || c_custkey AS focus, NULL::VARCHAR AS value, 'MinCount' AS component FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) < 5"),
+    "shacl_max_count": (("customer", "orders"), ":S sh:targetClass :Customer ; sh:property [ sh:path [ sh:inversePath :orders.customer ] ; sh:maxCount 12 ] .", f"SELECT {C} || o_custkey AS focus, NULL::VARCHAR AS value, 'MaxCount' AS component FROM orders GROUP BY o_custkey HAVING count(*) > 12"),
+    "shacl_datatype": (("part",), ":S sh:targetClass :Part ; sh:property [ sh:path :p_size ; sh:datatype xsd:double ] .", f"SELECT {P} || p_partkey AS focus, p_size::VARCHAR AS value, 'Datatype' AS component FROM part"),
+    "shacl_range": (("part",), ":S sh:targetClass :Part ; sh:property [ sh:path :p_size ; sh:minInclusive 10 ; sh:maxExclusive 40 ] .", f"SELECT {P} || p_partkey AS focus, p_size::VARCHAR AS value, CASE WHEN p_size < 10 THEN 'MinInclusive' ELSE 'MaxExclusive' END AS component FROM part WHERE p_size < 10 OR p_size >= 40"),
+    "shacl_in": (("customer",), ":S sh:targetClass :Customer ; sh:property [ sh:path :c_mktsegment ; sh:in ( \"BUILDING\" \"MACHINERY\" ) ] .", f"SELECT {C} || c_custkey AS focus, c_mktsegment AS value, 'In' AS component FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"),
+    "shacl_pattern_length": (("customer",), ":S sh:targetClass :Customer ; sh:property [ sh:path :c_name ; sh:pattern \"[0-8]$\" ; sh:maxLength 17 ] .", f"SELECT {C} || c_custkey AS focus, c_name AS value, 'Pattern' AS component FROM customer WHERE NOT regexp_matches(c_name, '[0-8]$') UNION ALL SELECT {C} || c_custkey, c_name, 'MaxLength' FROM customer WHERE length(c_name) > 17"),
+    "shacl_class_node_kind": (("nation", "region"), ":S sh:targetSubjectsOf :nation.region ; sh:property [ sh:path :nation.region ; sh:class :Nation ; sh:nodeKind sh:IRI ] .", f"SELECT {N} || n_nationkey AS focus, {R} || n_regionkey AS value, 'Class' AS component FROM nation"),
+    "shacl_less_than": (("part",), ":S sh:targetClass :Part ; sh:property [ sh:path :p_partkey ; sh:lessThan :p_size ] .", f"SELECT {P} || p_partkey AS focus, p_partkey::VARCHAR AS value, 'LessThan' AS component FROM part WHERE p_partkey >= p_size"),
+    "shacl_equals_disjoint": (("part",), ":S sh:targetClass :Part ; sh:property [ sh:path :p_partkey ; sh:disjoint :p_size ] .", f"SELECT {P} || p_partkey AS focus, p_partkey::VARCHAR AS value, 'Disjoint' AS component FROM part WHERE p_partkey = p_size"),
+    "shacl_logic": (("part",), ":S sh:targetClass :Part ; sh:or ( [ sh:property [ sh:path :p_size ; sh:minInclusive 25 ] ] [ sh:property [ sh:path :p_retailprice ; sh:maxInclusive 1000 ] ] ) ; sh:not [ sh:property [ sh:path :p_size ; sh:maxInclusive 3 ] ] .", f"SELECT {P} || p_partkey AS focus, {P} || p_partkey AS value, 'Or' AS component FROM part WHERE NOT (p_size >= 25 OR p_retailprice <= 1000) UNION ALL SELECT {P} || p_partkey, {P} || p_partkey, 'Not' FROM part WHERE p_size <= 3"),
+    "shacl_qualified": (("nation", "supplier"), ":S sh:targetClass :Nation ; sh:property [ sh:path [ sh:inversePath :supplier.nation ] ; sh:qualifiedValueShape [ sh:property [ sh:path :s_acctbal ; sh:minInclusive 5000.0 ] ] ; sh:qualifiedMinCount 1 ] .", f"SELECT {N} || n_nationkey AS focus, NULL::VARCHAR AS value, 'QualifiedMinCount' AS component FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal >= 5000)"),
+    "shacl_closed": (("region",), ":S sh:targetClass :Region ; sh:closed true ; sh:ignoredProperties ( <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ) ; sh:property [ sh:path :r_name ] .", f"SELECT {R} || r_regionkey AS focus, r_regionkey::VARCHAR AS value, 'Closed' AS component FROM region"),
+    "shacl_sparql": (("customer",), ":S sh:targetClass :Customer ; sh:sparql [ sh:select \"SELECT $this ?value WHERE { $this <http://example.org/tpch#c_acctbal> ?value FILTER(?value < 0) }\" ] .", f"SELECT {C} || c_custkey AS focus, c_acctbal::VARCHAR AS value, 'SPARQL' AS component FROM customer WHERE c_acctbal < 0"),
+    "shacl_has_value_path": (("customer", "nation"), ":S sh:targetClass :Customer ; sh:property [ sh:path ( :customer.nation :n_regionkey ) ; sh:hasValue 1 ] .", f"SELECT {C} || c_custkey AS focus, NULL::VARCHAR AS value, 'HasValue' AS component FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1"),
+}
+
+# graph algebra and schema
+
+
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base, additions and deletions made of nations: names of all, of keys above 20 twice in other forms, of even keys."""
+    d = _mapped(spark, sf_dir, "nation")
+    names = d.default_graph().filter(F.col("p") == "http://example.org/tpch#n_name")
+    key = F.regexp_extract("s", "([0-9]+)$", 1).cast("int")
+    return names, names.filter(key > 20).withColumn("s", F.concat("s", F.lit("-new"))).union(names.filter(key < 3)), names.filter(key % 2 == 0)
+
+
+def delta_apply(spark, sf_dir):
+    from .operators.graphs import Delta
+
+    return flat(Delta(*_parts(spark, sf_dir)).graph())
+
+
+def delta_missing_preconditions(spark, sf_dir):
+    base, add, _ = _parts(spark, sf_dir)
+    return flat(add.join(base, ["s", "p", "o"], "left_anti"))
+
+
+def disjoint_union_count(spark, sf_dir):
+    from .operators.graphs import disjoint_union
+
+    base, add, gone = _parts(spark, sf_dir)
+    return disjoint_union(base, add, gone).agg(F.count(F.lit(1)).alias("n"))
+
+
+def uuid_normalise(spark, sf_dir):
+    from .sources.ids import uuid_column
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = F.concat(F.when(F.col("c_custkey") % 3 == 0, "#_").otherwise("_"), F.when(F.col("c_custkey") % 2 == 0, F.upper(F.md5("c_name"))).when(F.col("c_custkey") % 5 == 0, "none").otherwise(F.md5("c_name")))
+    return c.select("c_custkey", uuid_column(raw).alias("iri"))
+
+
+PROFILE = """@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix cims: <http://iec.ch/TC57/1999/rdf-schema-extensions-19990926#> .
+@prefix uml: <http://iec.ch/TC57/NonStandard/UML#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix : <http://example.org/tpch#> . @prefix d: <http://d/> .
+<http://onto/1> a owl:Ontology ; owl:versionIRI <http://onto/1/1.0> .
+:Customer a rdfs:Class ; cims:stereotype uml:concrete ; rdfs:subClassOf :Party . :Supplier a rdfs:Class ; rdfs:subClassOf :Party . :Party a rdfs:Class ; rdfs:subClassOf :Thing . :Thing a rdfs:Class .
+:Nation a rdfs:Class ; cims:stereotype uml:concrete , "Description" . d:String a rdfs:Class ; cims:stereotype "Primitive" . d:Float a rdfs:Class ; cims:stereotype "Primitive" . d:Money a rdfs:Class ; cims:stereotype "CIMDatatype" .
+d:Money.value a rdf:Property ; rdfs:domain d:Money ; cims:dataType d:Float . :c_name a rdf:Property ; rdfs:domain :Customer ; cims:dataType d:String . :c_acctbal a rdf:Property ; rdfs:domain :Customer ; cims:dataType d:Money .
+:customer.nation a rdf:Property ; rdfs:domain :Customer ; rdfs:range :Nation . :unused a rdf:Property ; rdfs:domain :Customer ; rdfs:range :Nation ; cims:AssociationUsed "No" . :n_name a rdf:Property ; rdfs:domain :Nation ; rdfs:range <http://www.w3.org/2001/XMLSchema#string> ; cims:multiplicity cims:M:0..1 .
+"""
+
+
+def registry_typed_properties(spark, sf_dir):
+    from .profiles import typed_properties
+    from .sources.text import turtle
+
+    return typed_properties(turtle(spark, PROFILE).default_graph())
+
+
+def registry_class_flags(spark, sf_dir):
+    from .profiles import class_facts
+    from .sources.text import turtle
+
+    return class_facts(turtle(spark, PROFILE).default_graph())
+
+
+def index_superclass_closure(spark, sf_dir):
+    from .schema_index import SchemaIndex
+    from .sources.text import turtle
+
+    out = SchemaIndex.of({"http://onto/1/1.0": turtle(spark, PROFILE).default_graph()}).superclasses()
+    return out.select(F.col("class").alias("c"), F.col("super").alias("d"))
+
+
+def classify_customer_graphs(spark, sf_dir):
+    """Market-segment graphs of customers classified against the profile."""
+    from .schema_index import SchemaIndex, classify_graphs, sample_terms
+    from .sources.text import turtle
+
+    index = SchemaIndex.of({"http://onto/1/1.0": turtle(spark, PROFILE).default_graph()})
+    return classify_graphs(sample_terms(_small(spark, sf_dir)), index)
+
+
+def typed_instances(spark, sf_dir):
+    """Balances stored as text get their datatype from the profile."""
+    from .profiles import type_quads, typed_properties
+    from .sources.text import turtle
+
+    d = _mapped(spark, sf_dir, "customer").quads
+    o = F.col("o")
+    untyped = d.select("g", "s", "p", F.struct(o["k"].alias("k"), o["v"].alias("v"), F.when(o["k"] == 3, T.STRING).alias("dt"), o["lang"].alias("lang")).alias("o"))
+    out = type_quads(untyped, typed_properties(turtle(spark, PROFILE).default_graph()))
+    return out.groupBy("p", F.col("o.dt").alias("dt")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _TRIPLES = f"""
     SELECT {N} || n_nationkey AS s, 'http://example.org/tpch#n_name' AS p, 3 AS k, n_name AS v FROM nation
     UNION SELECT {N} || n_nationkey, 'http://example.org/tpch#region', 1, {R} || n_regionkey FROM nation
@@ -334,6 +470,27 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+_TP, _D = "'http://example.org/tpch#'", "'http://d/'"
+_BASE = f"SELECT {N} || n_nationkey AS s, {_TP} || 'n_name' AS p, 3 AS k, n_name AS v FROM nation"
+_ADD = f"SELECT {N} || n_nationkey || '-new' AS s, {_TP} || 'n_name' AS p, 3 AS k, n_name AS v FROM nation WHERE n_nationkey > 20 UNION ALL SELECT {N} || n_nationkey, {_TP} || 'n_name', 3, n_name FROM nation WHERE n_nationkey < 3"
+FUNCTIONS |= {
+    "delta_apply": (delta_apply, f"({_BASE} WHERE n_nationkey % 2 <> 0) UNION {_ADD.replace('UNION ALL', 'UNION')}"),
+    "delta_missing_preconditions": (delta_missing_preconditions, f"SELECT * FROM ({_ADD}) EXCEPT SELECT * FROM ({_BASE})"),
+    "disjoint_union_count": (disjoint_union_count, f"SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM ({_ADD})) + (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) AS n"),
+    "uuid_normalise": (uuid_normalise, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 5 <> 0 THEN 'urn:uuid:' || regexp_replace(md5(c_name), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') END AS iri FROM customer"),
+    "registry_typed_properties": (registry_typed_properties, f"""SELECT * FROM (VALUES ({_TP} || 'Customer', {_TP} || 'c_name', NULL, '{T.STRING}', NULL), ({_TP} || 'Customer', {_TP} || 'c_acctbal', {_D} || 'Money', '{T.FLOAT}', NULL), ({_D} || 'Money', {_D} || 'Money.value', NULL, '{T.FLOAT}', NULL),
+        ({_TP} || 'Customer', {_TP} || 'customer.nation', NULL, NULL, {_TP} || 'Nation'), ({_TP} || 'Nation', {_TP} || 'n_name', NULL, '{T.STRING}', NULL)) v(rdf_type, property, cim_datatype, primitive_type, reference_type)"""),
+    "registry_class_flags": (registry_class_flags, f"""SELECT * FROM (VALUES ({_TP} || 'Customer', {_TP} || 'Party', true, false, false, false, false), ({_TP} || 'Supplier', {_TP} || 'Party', false, false, false, false, false), ({_TP} || 'Party', {_TP} || 'Thing', false, false, false, false, false),
+        ({_TP} || 'Thing', NULL, false, false, false, false, false), ({_TP} || 'Nation', NULL, true, true, false, false, false), ({_D} || 'String', NULL, false, false, false, false, true), ({_D} || 'Float', NULL, false, false, false, false, true), ({_D} || 'Money', NULL, false, false, false, true, false))
+        v(class_uri, super_class, is_concrete, is_description, is_enum, is_cim_datatype, is_primitive)"""),
+    "index_superclass_closure": (index_superclass_closure, f"WITH RECURSIVE e AS (SELECT * FROM (VALUES ({_TP} || 'Customer', {_TP} || 'Party'), ({_TP} || 'Supplier', {_TP} || 'Party'), ({_TP} || 'Party', {_TP} || 'Thing')) v(c, d)), r AS (SELECT * FROM e UNION SELECT r.c, e.d FROM r JOIN e ON r.d = e.c) SELECT * FROM r"),
+    "classify_customer_graphs": (classify_customer_graphs, "SELECT DISTINCT 'http://g/' || c_mktsegment AS g, 'http://onto/1/1.0' AS profile, 1::BIGINT AS total, 1::BIGINT AS discriminating FROM customer"),
+    "typed_instances": (typed_instances, f"SELECT p, dt, n FROM (SELECT count(*) AS n FROM customer), (VALUES ({_TP} || 'c_name', '{T.STRING}'), ({_TP} || 'c_acctbal', '{T.FLOAT}'), ({_TP} || 'c_mktsegment', '{T.STRING}'), ({_TP} || 'c_custkey', '{T.STRING}'), ({_TP} || 'c_nationkey', '{T.STRING}'), ({_TP} || 'customer.nation', NULL), ('{T.RDF_TYPE}', NULL)) v(p, dt)"),
+    "shacl_summary": (shacl_summary, "SELECT count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_acctbal < 0) = 0 AS conforms, count(*) FILTER (WHERE c_acctbal < 0) AS violations, count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS warnings, 0::BIGINT AS infos FROM customer"),
+    **{name: (_shacl(tables, shape), sql) for name, (tables, shape, sql) in SHACL.items()},
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _sparql(text) for name, (text, _) in SPARQL.items()} | {name: f for name, (f, _) in FUNCTIONS.items()}
 

@@ -107,6 +107,9 @@ class Compiler:
     def p_empty(self, p, ctx):
         return Relation.unit(self.spark)
 
+    def p_frame(self, p: A.Frame, ctx):
+        return p.relation
+
     def p_bgp(self, p: A.Bgp, ctx: Context) -> Relation:
         plain = [t for t in p.triples if not _is_path(t.p)]
         rest = [t for t in p.triples if _is_path(t.p)]
