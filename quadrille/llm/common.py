@@ -44,24 +44,24 @@ def remove(spark: SparkSession, df: DataFrame | str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def filed(df: DataFrame, name: str = "input") -> DataFrame:
+    """``df`` itself where it is a plain file scan, else a staged copy: its locators then mean the same in every plan."""
+    try:
+        df.select(df.metadataColumn("_metadata"))
+    except Exception:  # noqa: BLE001 - analysis says that the relation has no file metadata
+        return staged(df, name)
+    return df
+
+
 def located(df: DataFrame, **columns: Column) -> DataFrame:
-    """``columns`` of ``df`` and ``_loc``, the file and row number of each row.
+    """``columns`` of ``df``, a plain file scan (see ``filed``), and ``_loc``, the file and row number of each row.
 
-    A frame that is no plain file scan is written to the shared folder first,
-    so that a locator always names stored content and survives task retries.
+    A locator names stored content, so it survives task retries and is the same
+    in every plan over the same files.
     """
-    def at(frame: DataFrame) -> Column:
-        meta = frame.metadataColumn("_metadata")
-        return F.concat(meta["file_path"], F.lit("#"), meta["row_index"].cast("string"))
-
-    narrow = df.select(*[c.alias(k) for k, c in columns.items()])
-    try:
-        return df.select(*[c.alias(k) for k, c in columns.items()], at(df).alias("_loc"))
-    except Exception as e:  # noqa: BLE001 - analysis says that the relation has no file metadata
-        if type(e).__name__ not in ("AnalysisException", "PySparkException", "UnsupportedOperationException"):
-            raise
-        kept = staged(narrow, "located")
-        return kept.select(*columns, at(kept).alias("_loc"))
+    meta = df.metadataColumn("_metadata")
+    at = F.concat(meta["file_path"], F.lit("#"), meta["row_index"].cast("string"))
+    return df.select(*[c.alias(k) for k, c in columns.items()], at.alias("_loc"))
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

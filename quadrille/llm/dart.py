@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, located, remove, slices, staged
+from .common import byte_texts, filed, located, remove, slices, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -253,7 +253,7 @@ def near_duplicates(
     texts stay alone; null ids sort first; an empty table gives no rows; columns
     not named aren't read.
     """
-    spark = docs.sparkSession
+    docs = filed(docs, "neardup-input")
     source = located(docs, _id=docs[id_col], _text=docs[text_col])
     signed = staged(signatures(source, width, bands, rows, weighted), "neardup-signed")
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("_id", "_loc")).alias("rep"), F.min(F.struct("n", "bands", "sketch")).alias("s"))
@@ -320,10 +320,7 @@ def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class; same columns."""
-    from .exact import _is_files
-
-    if not _is_files(docs):
-        docs = staged(docs, "neardup-input")
+    docs = filed(docs, "neardup-input")
     names = docs.columns
     rows = located(docs, **{f"_c{i}": docs[c] for i, c in enumerate(names)})
     bad = near_duplicates(docs, **options).filter("not kept").select(F.col("locator").alias("_loc"))

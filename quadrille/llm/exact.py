@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, located, remove, staged
+from .common import filed, fresh_path, located, remove, staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -83,7 +83,7 @@ def exact_dedup(
     ``docs`` other than the two named are not read, whatever their names.
     ``digest`` may be weak: groups are told apart by bytes.
     """
-    spark = docs.sparkSession
+    docs = filed(docs, "dedup-input")
     text = normalise(F.coalesce(docs[text_col], F.lit("")))
     rows = located(docs, _id=docs[id_col], _text=text)
     fingerprints = staged(rows.select("_id", "_loc", F.sha2("_text", 256).alias("_sha"), digest(F.col("_text")).alias("_digest")), "dedup-arrivals")
@@ -119,17 +119,8 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; same columns."""
-    if not _is_files(docs):
-        docs = staged(docs, "dedup-input")
+    docs = filed(docs, "dedup-input")
     names = docs.columns
     rows = located(docs, **{f"_c{i}": docs[c] for i, c in enumerate(names)})
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("locator").alias("_loc"))
     return rows.join(kept, "_loc", "left_semi").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
-
-
-def _is_files(df: DataFrame) -> bool:
-    try:
-        df.select(df.metadataColumn("_metadata"))
-    except Exception:  # noqa: BLE001 - analysis: no file metadata
-        return False
-    return True

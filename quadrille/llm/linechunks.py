@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, located, staged
+from .common import byte_texts, filed, located, staged
 
 WINDOW = 2
 DIVISOR = 2
@@ -98,6 +98,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the first; null ids sort first; an empty table gives no rows; columns not
     named aren't read. ``key`` may be weak: bytes decide.
     """
+    docs = filed(docs, "line-input")
     rows = located(docs, _id=docs[id_col], _text=F.coalesce(docs[text_col].cast("string"), F.lit("")))
     places = staged(chunks(rows, False, key), "line-chunks")
     repeated = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")

@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, located, staged
+from .common import filed, fresh_path, located, staged
 
 LEAST_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,6 +34,7 @@ def payload_headers(pages: DataFrame, id_col: str = "page_id", url_col: str | No
     (of repeated rows with it, the first stored). The minimum is combined before
     the shuffle, so a payload on a third of all pages stays cheap.
     """
+    pages = filed(pages, "warc-input")
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     url = pages[url_col].cast("string") if url_col else F.lit(None).cast("string")
     rows = located(pages, page_id=pages[id_col], url=url, payload_bytes=F.octet_length(html).cast("long"), payload_digest=F.sha2(html, 256))
@@ -71,10 +72,12 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     A retried task writes a file of another name; only files named in the
     manifest, which is committed with the winning attempt, belong to the archive.
     """
+    pages = filed(pages, "warc-input")
     heads = payload_headers(pages, id_col, url_col, html_col, least_bytes)
-    heads = heads.select("_loc", "payload_digest", F.col("original._loc").alias("original_loc"), F.col("original.page_id").alias("original_id"), F.col("original.url").alias("original_url"))
+    heads = heads.select("_loc", "payload_digest", F.col("original._loc").alias("original_loc"), F.col("original.page_id").cast("string").alias("original_id"), F.col("original.url").alias("original_url"))
     url = pages[url_col].cast("string") if url_col else F.lit(None).cast("string")
-    rows = located(pages, page_id=pages[id_col], url=url, html=pages[html_col].cast("string")).join(heads, "_loc")
+    # ids travel as text: a null among numbers would make them floats
+    rows = located(pages, page_id=pages[id_col].cast("string"), url=url, html=pages[html_col].cast("string")).join(heads, "_loc")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
