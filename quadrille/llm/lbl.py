@@ -184,7 +184,8 @@ def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
         if above > head:
             least = c
             break
-    top = sorted(((bytes(r[0]), r[1]) for r in counts.filter(F.col("c") > least).collect()), key=lambda x: (-x[1], x[0]))  # at most ``head`` rows
+    found = counts.filter(F.col("c") > least).select("token", "c").toArrow()  # at most ``head`` rows
+    top = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()), key=lambda x: (-x[1], x[0]))
     own = {w for w, _ in top[:OWN]}
     shared = counts.sparkSession.sparkContext.broadcast(own)
 
