@@ -43,7 +43,7 @@ WORDLIKE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345
 FEATURES = 1 << 12
 TRAINING_DOCS = 2_000
 TRAINING_CHARS = 50_000
-LEAST = 0.9
+LEAST = 0.95
 ROUNDS = 8
 
 
@@ -211,17 +211,20 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, seed: int = 3) ->
     k = len(KINDS) + 1
     weights = np.zeros((FEATURES, k))
     weights[_hash("bias"), 0] = 2.0
-    chain, skip = np.ones((k, k)), np.ones((k, k)) * 0.5
+    chain, skip = np.ones((k, k)), np.full((k, k), 0.05)
     if g.spans:
         rng = np.random.default_rng(seed)
         y = np.array(g.labels)
+        # an unmatched mention of what is matched elsewhere is unlabelled, not clean
+        unsure = {n for a, b in g.skip for n, m in ((a, b), (b, a)) if not y[n] and y[m]}
+        sure = np.array([n for n in range(len(y)) if n not in unsure])
         soft, hard = np.array(g.soft), np.array(g.hard)
         gone = _hash("gone")
         onehot = np.eye(k)[y]
         grads = np.zeros_like(weights)
         for _ in range(steps):
-            pick = rng.integers(0, len(y), 512)
-            drop = rng.random((len(pick), 1)) < 0.2
+            pick = rng.choice(sure, 512)
+            drop = rng.random((len(pick), 1)) < 0.3
             x = np.concatenate([soft[pick], np.where(drop, gone, hard[pick])], axis=1)
             s = weights[x].sum(axis=1)
             p = np.exp(s - _lse(s, 1)[:, None])
@@ -232,6 +235,8 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, seed: int = 3) ->
             weights += rate * d / np.sqrt(grads + 1e-6)
         for table, edges in ((chain, g.chain), (skip, g.skip)):
             for a, b in edges:
+                if a in unsure or b in unsure:
+                    continue
                 table[y[a], y[b]] += 1
                 table[y[b], y[a]] += 1
     # repeated mentions agree: prior counts before any are seen
@@ -250,7 +255,8 @@ def added_spans(crf: Crf, texts: list[str], bases: list[list[tuple[int, int, int
     if not g.spans:
         return out
     best = crf.marginals(g)
-    label = np.where(best.max(axis=1) >= LEAST, best.argmax(axis=1), 0)
+    soft = best.argmax(axis=1)
+    label = np.where(best.max(axis=1) >= LEAST, soft, 0)
     linked = set(g.chain)
     node = 0
     while node < len(label):
@@ -258,7 +264,8 @@ def added_spans(crf: Crf, texts: list[str], bases: list[list[tuple[int, int, int
             node += 1
             continue
         end = node
-        while end + 1 < len(label) and label[end + 1] == label[node] and not g.labels[end + 1] and (end, end + 1) in linked:
+        # a sure token begins a span, likely ones go on with it
+        while end + 1 < len(label) and soft[end + 1] == label[node] and not g.labels[end + 1] and (end, end + 1) in linked:
             end += 1
         doc, start, stop = g.spans[node][0], g.spans[node][1], g.spans[end][2]
         start, stop = trimmed(texts[doc], start, stop)
