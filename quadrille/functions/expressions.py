@@ -92,6 +92,8 @@ class Evaluator:
             return ns[0].with_col(F.try_subtract(F.lit(0).cast("long") if ns[0].kind == "int" else F.lit(0.0) if ns[0].kind == "dbl" else F.lit(0).cast("decimal(38,18)"), ns[0].col))
         kinds = {n.kind for n in ns}
         x, y = (n.col for n in ns)
+        if any(v.kind == "term" for v in vs):
+            return self.mixed(name, vs, x.cast("double"), y.cast("double"))
         if "dbl" in kinds:
             x, y = x.cast("double"), y.cast("double")
             if name == "/":  # IEEE: x / 0 is infinite, 0 / 0 is no number
@@ -109,6 +111,28 @@ class Evaluator:
             return Value("dec", F.try_multiply(x.cast("decimal(28,9)"), y.cast("decimal(28,9)")).try_cast("decimal(38,18)"))
         return Value("dec", {"+": F.try_add, "-": F.try_subtract}[name](x.cast("decimal(38,18)"), y.cast("decimal(38,18)")).try_cast("decimal(38,18)"))
 
+    @staticmethod
+    def mixed(name: str, vs: list[Value], x: Column, y: Column) -> Value:
+        """Arithmetic where a datatype is known only row by row: the result takes the wider one."""
+
+        def has(v: Value, kinds: tuple[str, ...], datatypes) -> Column:
+            return v.col["dt"].isin(*sorted(datatypes)) if v.kind == "term" else F.lit(v.kind in kinds)
+
+        approx = has(vs[0], ("dbl",), {T.DOUBLE, T.FLOAT}) | has(vs[1], ("dbl",), {T.DOUBLE, T.FLOAT})
+        whole = has(vs[0], ("int",), T.INTEGERS) & has(vs[1], ("int",), T.INTEGERS)
+        if name == "/":
+            inf = F.lit(float("inf"))
+            zero = F.when(approx, F.when(x > 0, inf).when(x < 0, -inf).when(x == 0, F.lit(float("nan"))))
+            z = F.when(y == 0, zero).otherwise(F.try_divide(x, y))
+            whole = F.lit(False)
+        else:
+            z = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[name](x, y)
+        dt = F.when(approx, T.DOUBLE).when(whole, T.INTEGER).otherwise(T.DECIMAL)
+        exact = F.regexp_replace(F.regexp_replace(z.try_cast("decimal(38,15)").cast("string"), "0+$", ""), r"\.$", ".0")
+        form = F.when(approx, z.cast("string")).when(whole, z.try_cast("decimal(38,0)").cast("string")).otherwise(exact)
+        made = F.struct(F.lit(T.LITERAL_KIND).cast("tinyint").alias("k"), form.alias("v"), dt.alias("dt"), F.lit(None).cast("string").alias("lang"))
+        return Value("term", F.when(form.isNotNull(), made))
+
     # terms
     def f_sameterm(self, a, b):
         return boolean(same_term(a, b))
