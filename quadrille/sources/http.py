@@ -64,6 +64,14 @@ class HttpEndpoint:
 
         return run
 
+    def shacl(self, shapes: str, url: str | None = None) -> str:
+        """Post Turtle shapes to a SHACL service; the report as Turtle."""
+        request = urllib.request.Request(url or self.url, shapes.encode(), {"Accept": "text/turtle", "Content-Type": "text/turtle"})
+        if self.auth:
+            request.add_header("Authorization", self.auth)
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            return reply.read().decode()
+
     # introspection
     def schema_graphs(self) -> list[str]:
         q = f"SELECT DISTINCT ?g WHERE {{ GRAPH ?g {{ {{ ?x a <{T.RDFS}Class> }} UNION {{ ?x a <{T.OWL}Ontology> }} }} }}"
