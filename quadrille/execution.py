@@ -48,7 +48,8 @@ def guarded(spark: SparkSession, action: Callable[[], Any], timeout: float = TIM
     while not done.wait(POLL):
         stop = QueryCancelled("cancelled") if cancel is not None and cancel.is_set() else QueryTimeout(f"no result in {timeout:g} s") if time.monotonic() > end else None
         if stop:
-            spark.sparkContext.cancelJobGroup(group)
+            # jobs that the group has yet to start must not run on behind the caller's back
+            spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
             raise stop
     if "error" in box:
         raise box["error"]

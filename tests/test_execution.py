@@ -19,7 +19,12 @@ from quadrille.sources.text import turtle
 
 
 def test_timeout_and_cancel(spark):
-    slow = lambda: spark.range(10**13).selectExpr("sum(hash(id))").collect()
+    def nap(batches):
+        for b in batches:
+            time.sleep(10)
+            yield b
+
+    slow = lambda: spark.range(2, numPartitions=2).mapInArrow(nap, "id long").collect()
     start = time.time()
     with pytest.raises(QueryTimeout):
         guarded(spark, slow, timeout=0.5)
