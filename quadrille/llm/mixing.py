@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import staged, word_count
 
 CYCLE = (3, 1, 2)
-ROWS_PER_SALT = 1_000_000
+ROWS_PER_SALT = 50_000
 
 
 def _hash16(*parts: Column) -> Column:
