@@ -130,6 +130,22 @@ def test_quality(spark):
     assert kneser.quality(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("trusted_docs", [180, 4_000])
+def test_quality_thresholds_are_of_unseen_documents(spark, trusted_docs):
+    """Whether the trusted documents fit the sample or not, clean documents that training hasn't seen are kept like them."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 50_000) for _ in range(600)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(1000 + i, texts[i], "en", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(200), *range(1000, 1040)]], "doc_id long, quality int, toxic int")
+    sample = {r[0] for r in kneser.trusted_sample(labels, trusted_docs).collect()}
+    held = [i for i in [*range(200), *range(1000, 1040)] if not sample & {i, i % 1000, i + 1000}]
+    assert len(held) > 10
+    out = {r.doc_id: r for r in kneser.quality(table(spark, rows), labels, trusted_docs=trusted_docs).collect()}
+    threshold = out[0].threshold
+    assert math.isclose(threshold, max(out[i].cost for i in held))
+    assert np.mean([out[i].kept for i in range(200, 600)]) > 0.9
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = table(spark, sentences(60, 2))
     model = kneser.train(docs)
