@@ -54,7 +54,7 @@ def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linechunks.dedup_lines(_table(spark, sf_dir, "documents"))
+    return linechunks.dedup_lines(_table(spark, sf_dir, "documents"), units=linechunks.window_lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import dart, exact, linechunks
+from quadrille.llm import dart, exact, linechunks, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, _id string, _loc string, kept string, n string, cls string, token string, size string"
 
@@ -154,6 +154,49 @@ def test_line_chunks(spark, key):
     assert sorted(r.n_removed for r in again)[0] == 0
 
 
+def brute_windows(rows):
+    """Lines left of each row if every repeated pair of lines or long line goes from all but its first place."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
+    first, gone = {}, defaultdict(set)
+    for at in order:
+        lines = (rows[at][1] or "").split("\n")
+        for s in range(len(lines)):
+            for n in (1, 2):
+                unit = tuple(lines[s : s + n])
+                if len(unit) < n or n == 1 and len(unit[0].split()) <= 50:
+                    continue
+                doc, start = first.setdefault(unit, (at, s))
+                if (doc, start) != (at, s):
+                    gone[at] |= set(range(s, s + n)) - (set(range(start, start + n)) if doc == at else set())
+    return Counter((i, "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in gone[at])) for at, (i, t, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("key", [linechunks.key_of, lambda b: bytes([len(b) % 3])])
+def test_line_windows(spark, key):
+    rng = np.random.default_rng(6)
+    rows = [(k, "\n".join(f"line {x}" + " word" * (60 * (x % 5 == 0)) for x in rng.integers(0, 40, rng.integers(0, 12))), "s") for k in range(40)]
+    rows += [(90, None, "s"), (91, "", "s"), (92, "x\n" * 300, "s"), (93, LONG + "\n" + LONG, "s"), (94, "\n\n\n", "s"), (None, rows[5][1], "s")]
+    out = linechunks.dedup_lines(table(spark, rows), key=key, units=linechunks.window_lines).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == brute_windows(rows)
+    for r in out:
+        spans = [tuple(map(int, x.split(":"))) for x in r.removed.split(",") if x]
+        assert sum(n for _, n in spans) == r.n_removed and all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))
+
+
+def test_query_removes_whole_passages(spark, tmp_path):
+    """Passages of 2 to 12 lines, and long lines alone, in surroundings of their own: nothing of the second copy is left."""
+    rows, want = [], {}
+    for p in range(60):
+        size = p % 12 + 1
+        passage = [f"passage {p} line {x}" + " word" * (60 * (size == 1)) for x in range(size)]
+        for copy in range(2):
+            own = [f"own {p} {copy} {x}" for x in range(7)]
+            rows.append((2 * p + copy, "\n".join([*own[: p % 8], *passage, *own[p % 8 :]]), "s"))
+            want[2 * p + copy] = "\n".join(own) if copy else rows[-1][1]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in queries.op10_line_chunks(spark, str(tmp_path)).collect()} == want
+
+
 def test_chunk_boundaries_resist_shifts():
     lines = [f"line {i}".encode() for i in range(200)]
     a = {tuple(lines[s : s + n]) for s, n in linechunks.chunk_lines(lines)}
