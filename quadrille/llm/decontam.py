@@ -67,6 +67,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     texts have no words; null items are no items; repeated documents get a row
     each; other columns aren't read. Empty tables give no hits or no rows.
     """
+    return _verdicts(docs, items, id_col, text_col, window, share, broadcast_windows).drop("_h")
+
+
+def _verdicts(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int = WINDOW, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``decontaminate`` with the hash of each row's text, ``_h``: rows of one id and text are alike."""
     hits = benchmark_hits(docs, items, id_col, text_col, window, broadcast_windows)
     spans = hits.groupBy("_key").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
@@ -81,10 +86,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("_items", F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).alias("contaminated"),
+        base["_h"],
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
-    """``docs`` without contaminated documents; same columns."""
-    bad = decontaminate(docs, items, id_col, text_col, share=share).filter("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without contaminated rows; same columns. A row of another text that shares its id with a contaminated one stays."""
+    bad = _verdicts(docs, items, id_col, text_col, share=share).filter("contaminated").select(F.col(id_col).alias("_bad"), F.col("_h").alias("_bad_h")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col]) == bad["_bad_h"]), "left_anti")

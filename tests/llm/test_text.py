@@ -146,6 +146,23 @@ def test_quality_thresholds_are_of_unseen_documents(spark, trusted_docs):
     assert np.mean([out[i].kept for i in range(200, 600)]) > 0.9
 
 
+def test_stages_drop_rows_not_ids(spark):
+    """A bad row takes no clean row of the same or no id with it; bad copies all go."""
+    good = sentences(300, 1)
+    clean = [(None, good[250][1], "en", "s"), (None, good[251][1], "en", "s"), (7000, good[252][1], "en", "s")]
+    junk = " ".join(f"@@{x}##" for x in range(40))
+    docs = table(spark, good + clean + [(i, junk, "en", "s") for i in (None, None, 7000)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    left = [(r.doc_id, r.text) for r in kneser.drop_low_quality(docs, labels, quantile=1.0, trusted_docs=100).collect()]
+    assert junk not in [t for _, t in left]
+    assert Counter(left) >= Counter((i, t) for i, t, *_ in clean)
+    leak = " ".join(f"leak{x}" for x in range(30))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = clean + [(i, leak, "en", "s") for i in (None, None, 7000)] + [(None, None, "en", "s")]
+    left = decontam.drop_contaminated(table(spark, rows), bench).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter((i, t) for i, t, *_ in [*clean, rows[-1]])
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = table(spark, sentences(60, 2))
     model = kneser.train(docs)
