@@ -179,8 +179,8 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
-def test_decontamination(spark, bound):
+@pytest.mark.parametrize("bound, piece", [(100_000, 500_000), (0, 500_000), (0, 20)])
+def test_decontamination(spark, bound, piece):
     rng = np.random.default_rng(3)
     vocab = [f"v{i}" for i in range(80)] + ["the", "of", "é"]
     item = lambda n: " ".join(rng.choice(vocab, n))
@@ -196,7 +196,7 @@ def test_decontamination(spark, bound):
         rows.append((k, " ".join(parts), "en", "s"))
     rows += [(70, None, "en", "s"), (71, "", "en", "s"), (72, "the " * 400, "en", "s"), (0, rows[0][1], "en", "s"), (None, items[0][1], "en", "s"), (73, LONG, "en", "s")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, words string")
-    out = decontam.decontaminate(table(spark, rows), bench, broadcast_windows=bound).collect()
+    out = decontam.decontaminate(table(spark, rows), bench, broadcast_windows=bound, piece_tokens=piece).collect()
     windows = defaultdict(set)
     for i, t in items:
         w = words(t)
@@ -216,10 +216,28 @@ def test_decontamination(spark, bound):
     assert Counter(tuple(r) for r in out) == want
     left = decontam.drop_contaminated(table(spark, rows), bench)
     assert left.columns == table(spark, []).columns
+    full = {x for x in windows if len(x) == 13}
+    stay = Counter()
+    for i, t, *_ in rows:
+        w = words(t)
+        hit = {p for n in {len(x) for x in windows} for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in windows for p in range(s, s + n)}
+        if not any(tuple(w[s : s + 13]) in full for s in range(len(w) - 12)) and not (hit and 20 * len(hit) >= len(w)):
+            stay[i, t] += 1
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == stay
     assert decontam.decontaminate(table(spark, []), bench).count() == 0
     assert not decontam.decontaminate(table(spark, rows), bench.limit(0)).filter("contaminated").count()
 
 
+def test_decontamination_finds_passages_in_long_documents(spark):
+    """One window in 30,000 words is no 5 %, but a passage; a short item that many texts hold is none."""
+    item = " ".join(f"q{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item), (2, "and so on")], "item_id long, text string")
+    rows = [(k, f"{LONG} {' '.join(item.split()[3:16])} {LONG}", "en", "s") for k in range(2)] + [(5, f"{LONG} and so on", "en", "s"), (6, LONG, "en", "s"), (7, " ".join(item.split()[:12]), "en", "s")]
+    out = {r.doc_id: (r.n_hit, r.contaminated) for r in decontam.decontaminate(table(spark, rows), bench).collect()}
+    assert out == {0: (13, False), 1: (13, False), 5: (3, False), 6: (0, False), 7: (0, False)}
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(table(spark, rows), bench).collect()) == [5, 6, 7]
+
+
 def waterfill(sizes, share=1.5, cap=2.0, cycle=(3, 1, 2)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: cycle[i % 3] for i, s in enumerate(names)}
