@@ -169,9 +169,62 @@ def test_kneser_ney_sums_to_one(spark):
     every = np.arange(model.size)
     for a, b in [(1, 1), (1, 4), (5, 6), (0, 9), (30, 31)]:
         logs = model.score((a * model.size + b) * model.size + every)
-        p = np.exp(logs)
-        p[kneser.UNK] *= model.unseen
-        assert math.isclose(p.sum(), 1, rel_tol=1e-6)
+        assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-6)
+
+
+def kneser_brute(texts):
+    """Interpolated modified Kneser-Ney with dictionaries: log probability of a list of words."""
+    grams = Counter()
+    for t in texts:
+        w = ["<s>", "<s>", *t.encode().split(), "</s>"]
+        grams.update(zip(w, w[1:], w[2:]))
+    two = Counter(g[1:] for g in grams)
+    one = Counter(g[1] for g in two)
+    size = len({x for t in texts for x in t.encode().split()}) + 3
+
+    def cut(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        d = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        d = [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d)]
+        return {g: c - d[min(c, 3) - 1] for g, c in counts.items()}
+
+    c1, c2, c3 = cut(one), cut(two), cut(grams)
+    h2, h3 = Counter(), Counter()
+    for g, c in two.items():
+        h2[g[:1]] += c
+    for g, c in grams.items():
+        h3[g[:2]] += c
+    l2, l3 = Counter(h2), Counter(h3)
+    for g, c in c2.items():
+        l2[g[:1]] -= c
+    for g, c in c3.items():
+        l3[g[:2]] -= c
+    total = sum(one.values())
+    spare = (total - sum(c1.values())) / total / size
+
+    def p(a, b, c):
+        low = c1.get(c, 0) / total + spare
+        low = c2.get((b, c), 0) / h2[b,] + l2[b,] / h2[b,] * low if (b,) in h2 else low
+        return c3.get((a, b, c), 0) / h3[a, b] + l3[a, b] / h3[a, b] * low if (a, b) in h3 else low
+
+    known = {x for t in texts for x in t.encode().split()}
+
+    def score(t):
+        w = ["<s>", "<s>", *(x if x in known else None for x in t.encode().split()), "</s>"]
+        return sum(math.log(p(*g)) for g in zip(w, w[1:], w[2:]))
+
+    return score
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    rows = sentences(80, 3)
+    score = kneser_brute([t for _, t, *_ in rows[:50]])
+    docs = table(spark, [*rows, (900, None, "en", "s"), (901, "Word1  word?\x0bWord2 \u00a0x", "en", "s")])
+    model = kneser.train(table(spark, rows[:50]))
+    got = {r.doc_id: r.log_prob for r in kneser.perplexities(kneser.filed(docs), model).collect()}
+    for i, t, *_ in [*rows, (900, "", 0), (901, "Word1  word?\x0bWord2 \u00a0x", 0)]:
+        assert math.isclose(got[i], score(t), rel_tol=1e-9)
 
 
 def words(t):
