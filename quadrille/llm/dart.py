@@ -2,10 +2,12 @@
 
 Darts are a Poisson process of unit intensity over (element, weight, rank),
 drawn from hashes so that every document meets the same darts. A document's
-region is, for each of its shingles, the shingle's weight times ranks up to
-``t / total weight``; regions are visited in dyadic rank cells, so the work is
-about t = k ln k + 2k darts a document however many shingles it has. Each dart
-names one of k coordinates, and the earliest per coordinate is the signature.
+region is, for each of its shingles, the weights below the shingle's times ranks
+up to ``t / total weight``; it is covered by cells, dyadic along both axes, and a
+dart of a cell counts if it lies in the region. So the work is about t = k ln k +
+2k darts a document and a few cells an element, however large the weights, which
+are any positive numbers. Each dart names one of k coordinates, and the earliest
+per coordinate is the signature.
 
 Signatures are banded; a bucket links its members to one leader (no pairs within
 a bucket), links are verified on the whole shingle sets, and buckets that still
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,40 +94,45 @@ _TABLES: dict[int, np.ndarray] = {}
 def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, k: int) -> np.ndarray:
     """Signatures (documents x k, as 64-bit patterns of the earliest ranks) of weighted sets.
 
-    ``elements`` and integer ``weights`` (1 where None) lie one document after
-    another, ``counts`` elements each, all above 0. Equal ranks mean equal darts.
+    ``elements`` and their positive ``weights`` (1 where None) lie one document
+    after another, ``counts`` elements each, all above 0. Equal ranks mean equal
+    darts; the share of equal coordinates estimates the sum of the lesser weights
+    over the sum of the greater.
     """
     docs = np.repeat(np.arange(len(counts)), counts)
-    if weights is not None:  # a weight of w is w unit strips, each with darts of its own
-        strip = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
-        elements, docs = np.repeat(elements, weights), np.repeat(docs, weights)
-        elements = np.where(strip > 0, mix(elements + strip.astype(U) * U(0xD1B54A32D192ED03)), elements)
-    total = np.bincount(docs, minlength=len(counts))
+    weights = np.ones(len(elements)) if weights is None else weights.astype(float)
+    total = np.bincount(docs, weights, minlength=len(counts))
     limit = (k * math.log(k) + 2 * k) / total
     sig = np.full(len(counts) * k, np.inf)
-    left = np.ones(len(counts), bool)
     while True:
-        _throw(elements, docs, limit, sig, k)
+        low, high = 0.0, 1.0
+        chosen = np.arange(len(elements))
+        while len(chosen):  # weight cells [0, 1), [1, 2), [2, 4), ...
+            _throw(elements[chosen], docs[chosen], weights[chosen], limit, sig, k, low, high)
+            chosen = chosen[weights[chosen] > high]
+            low, high = high, high * 2
         left = np.isinf(sig.reshape(-1, k)).any(axis=1)
         if not left.any():
             return sig.reshape(-1, k).view(U)
         # some coordinate had no dart: these documents look twice as far
         keep = left[docs]
-        elements, docs = elements[keep], docs[keep]
+        elements, docs, weights = elements[keep], docs[keep], weights[keep]
         limit = np.where(left, limit * 2, limit)
 
 
-def _throw(elements: np.ndarray, docs: np.ndarray, limit: np.ndarray, sig: np.ndarray, k: int) -> None:
+def _throw(elements: np.ndarray, docs: np.ndarray, weights: np.ndarray, limit: np.ndarray, sig: np.ndarray, k: int, least: float, most: float) -> None:
+    """Throw the darts of the weight cell [least, most); its rank cells are the narrower the wider it is."""
     reach, low = limit[docs], 0.0
-    for cell, high in enumerate(CELLS):
+    for cell, end in enumerate(CELLS):
+        high = end / (most - least)
         met = reach > low
         if not met.any():
             return
         if not met.all():
-            elements, docs, reach = elements[met], docs[met], reach[met]
-        if cell not in _TABLES:
-            _TABLES[cell] = _poisson_table(high - low)
-        seeds = mix(elements ^ _salt(cell))
+            elements, docs, weights, reach = elements[met], docs[met], weights[met], reach[met]
+        if cell not in _TABLES:  # the area of a cell depends on its number alone
+            _TABLES[cell] = _poisson_table(end - (CELLS[cell - 1] if cell else 0.0))
+        seeds = mix(elements ^ _salt(cell, int(most)))
         n = np.searchsorted(_TABLES[cell], (seeds >> U(11)) * 2.0**-53, side="right")
         some = np.flatnonzero(n)
         n = n[some]
@@ -135,8 +142,10 @@ def _throw(elements: np.ndarray, docs: np.ndarray, limit: np.ndarray, sig: np.nd
         rank = low + (high - low) * ((h >> U(11)) * 2.0**-53)
         near = rank <= reach[which]
         h, which, rank = h[near], which[near], rank[near]
-        coordinate = ((mix(h) >> U(40)) * U(k) >> U(24)).astype(np.int64)
-        np.minimum.at(sig, docs[which] * k + coordinate, rank)
+        h = mix(h)
+        coordinate = ((h >> U(40)) * U(k) >> U(24)).astype(np.int64)
+        inside = least + (most - least) * ((h & U((1 << 40) - 1)) * 2.0**-40) < weights[which]
+        np.minimum.at(sig, docs[which[inside]] * k + coordinate[inside], rank[inside])
         low = high
 
 
@@ -150,15 +159,23 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _sets(texts: list[bytes], cache: TokenHashes, width: int, weighted: bool) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
-    if not weighted:
+#: Weights of a document's distinct shingles from the shingles and their numbers of occurrences; None: all weigh 1.
+Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts
+
+
+def _sets(texts: list[bytes], cache: TokenHashes, width: int, weigh: Weigh | None) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
+    if weigh is None:
         return [np.unique(shingles(t, cache, width)) for t in texts], None
     both = [np.unique(shingles(t, cache, width), return_counts=True) for t in texts]
-    return [x for x, _ in both], [n for _, n in both]
+    return [x for x, _ in both], [np.asarray(weigh(x, n), float) for x, n in both]
 
 
-def signatures(rows: DataFrame, width: int, bands: int, rows_: int, weighted: bool) -> DataFrame:
-    """(_id, _loc, cls, n, bands, sketch) of (_id, _loc, _text): cls names the shingle set; documents without words have null cls."""
+def signatures(rows: DataFrame, width: int, bands: int, rows_: int, weigh: Weigh | None) -> DataFrame:
+    """(_id, _loc, cls, n, bands, sketch) of (_id, _loc, _text): cls names the weighted shingle set, n is its total weight; documents without words have null cls."""
     k = bands * rows_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +183,12 @@ def signatures(rows: DataFrame, width: int, bands: int, rows_: int, weighted: bo
         for batch in batches:
             texts = byte_texts(batch.column(2))
             for i, j in slices(texts, 1 << 19):
-                sets, counts = _sets(texts[i:j], cache, width, weighted)
+                sets, counts = _sets(texts[i:j], cache, width, weigh)
                 full = [x for x in range(j - i) if len(sets[x])]
                 cls: list[bytes | None] = [None] * (j - i)
                 keys: list[list[int] | None] = [None] * (j - i)
                 sketch: list[bytes | None] = [None] * (j - i)
-                sizes = np.zeros(j - i, np.int64)
+                sizes = np.zeros(j - i)
                 if full:
                     weights = np.concatenate([counts[x] for x in full]) if counts else None
                     sig = dart_signatures(np.concatenate([sets[x] for x in full]), weights, np.array([len(sets[x]) for x in full]), k)
@@ -188,7 +205,7 @@ def signatures(rows: DataFrame, width: int, bands: int, rows_: int, weighted: bo
                 )
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "_loc", "_text").mapInArrow(run, f"_id {kind}, _loc string, cls binary, n long, bands array<bigint>, sketch binary")
+    return rows.select("_id", "_loc", "_text").mapInArrow(run, f"_id {kind}, _loc string, cls binary, n double, bands array<bigint>, sketch binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray | None = None, nb: np.ndarray | None = None) -> float:
@@ -197,11 +214,11 @@ def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray | None = None, nb: n
     if na is None:
         both, sizes = len(ia), len(a) + len(b)
     else:
-        both, sizes = int(np.minimum(na[ia], nb[ib]).sum()), int(na.sum() + nb.sum())
+        both, sizes = np.minimum(na[ia], nb[ib]).sum(), na.sum() + nb.sum()
     return both / (sizes - both) if sizes > both else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, weighted: bool) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, weigh: Weigh | None) -> DataFrame:
     """(a, b) of ``pairs`` whose classes are similar enough; ``texts``: (cls, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +228,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, w
             xs, ys = byte_texts(batch.column(2)), byte_texts(batch.column(3))
             for i, (x, y) in enumerate(zip(xs, ys)):
                 if last[0] != y:
-                    last = (y, _sets([y], cache, width, weighted))
-                sets, counts = _sets([x], cache, width, weighted)
+                    last = (y, _sets([y], cache, width, weigh))
+                sets, counts = _sets([x], cache, width, weigh)
                 other, weights = last[1]
                 if similarity(sets[0], other[0], counts and counts[0], weights and weights[0]) >= threshold:
                     keep.append(i)
@@ -241,21 +258,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: Weigh | None = occurrences
 ) -> DataFrame:
     """One row per document: id, class_id, class_size, kept, n_shingles, set_id, locator.
 
     Classes are the connected components of the links between documents whose
-    ``width``-word shingle sets (multisets with ``weighted``) have a Jaccard
-    similarity of at least ``threshold``; class_id is the smallest id in the
-    class, and its row (of repeated rows the first stored) is ``kept``. Equal
-    shingle sets are one set_id and aren't paired. Null, empty and wordless
+    ``width``-word shingles, weighted by ``weigh`` (by default each by how often it
+    occurs), have a Jaccard similarity, lesser over greater weights, of at least
+    ``threshold``; class_id is the smallest id in the
+    class, and its row (of repeated rows the first stored) is ``kept``. n_shingles is the total weight. Equal
+    weighted sets are one set_id and aren't paired. Null, empty and wordless
     texts stay alone; null ids sort first; an empty table gives no rows; columns
     not named aren't read.
     """
     docs = filed(docs, "neardup-input")
     source = located(docs, _id=docs[id_col], _text=docs[text_col])
-    signed = staged(signatures(source, width, bands, rows, weighted), "neardup-signed")
+    signed = staged(signatures(source, width, bands, rows, weigh), "neardup-signed")
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("_id", "_loc")).alias("rep"), F.min(F.struct("n", "bands", "sketch")).alias("s"))
     classes = staged(classes.select("cls", "rep", "s.n", "s.bands", "s.sketch"), "neardup-classes")
 
@@ -265,7 +283,7 @@ def near_duplicates(
     pairs = members.join(leaders, "key").select(F.col("cls").alias("a"), "n", F.col("lead.cls").alias("b"), F.col("lead.n").alias("m")).filter("a <> b").filter(sized)
     pairs = staged(pairs.select("a", "b").distinct(), "neardup-pairs")
     texts = _texts(pairs, classes, source)
-    edges = staged(verified(pairs, texts, threshold, width, weighted), "neardup-links")
+    edges = staged(verified(pairs, texts, threshold, width, weigh), "neardup-links")
     labels = components(edges)
 
     # buckets that hold several components: every pair across components is still to be tried
@@ -279,7 +297,7 @@ def near_duplicates(
     across = across.join(tried, ["a", "b"], "left_anti")
     across = staged(_sketched(across, classes, threshold), "neardup-across")
     if not across.isEmpty():
-        more = verified(across, _texts(across, classes, source), threshold, width, weighted)
+        more = verified(across, _texts(across, classes, source), threshold, width, weigh)
         edges = staged(edges.union(more), "neardup-links")
         labels = components(edges)
 
@@ -319,7 +337,12 @@ def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class; same columns."""
+    """``docs`` with one document of each class; same columns.
+
+    Null, empty and wordless texts all stay; of repeated rows the first stored
+    stays; null ids sort first; texts of any length are read whole; an empty table
+    gives no rows; extra columns, of whatever names, are carried along.
+    """
     docs = filed(docs, "neardup-input")
     names = docs.columns
     rows = located(docs, **{f"_c{i}": docs[c] for i, c in enumerate(names)})

@@ -1,5 +1,6 @@
 """Exact dedup, near-dedup and line dedup against brute force, with awkward rows."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -41,9 +42,14 @@ def test_exact_empty_and_stage(spark):
     assert sorted(r.text or "" for r in out.collect()) == sorted({t or "" for _, t, _ in ROWS})
 
 
-def brute(rows, threshold=0.8):
-    cache = dart.TokenHashes()
-    sets = [set(dart.shingles((t or "").encode(), cache).tolist()) for _, t, _ in rows]
+def bag(text):
+    """Five-word shingles with their numbers of occurrences, by plain Python."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute(rows, threshold=0.8, weighted=True):
+    sets = [bag(t) if weighted else Counter(set(bag(t))) for _, t, _ in rows]
     label = list(range(len(rows)))
 
     def find(x):
@@ -53,7 +59,7 @@ def brute(rows, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold:
+            if sets[i] and sets[j] and (sets[i] & sets[j]).total() / (sets[i] | sets[j]).total() >= threshold:
                 a, b = find(i), find(j)
                 label[max(a, b)] = min(a, b)
     groups = defaultdict(list)
@@ -76,14 +82,14 @@ def near_rows(seed):
     return rows + [(k, None, "s"), (k + 1, "", "s"), (k + 2, "!!", "s"), (k + 3, "one", "s"), (k + 4, "One.", "s")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_against_brute_force(spark, seed):
-    rows = near_rows(seed)
-    out = dart.near_duplicates(table(spark, rows)).collect()
+@pytest.mark.parametrize("seed, weigh", [(1, dart.occurrences), (2, None)])
+def test_near_duplicates_against_brute_force(spark, seed, weigh):
+    rows = near_rows(seed) + [(500 + k, "again and again we say the same " * (10 + k), "s") for k in range(6)]
+    out = dart.near_duplicates(table(spark, rows), weigh=weigh).collect()
     got = defaultdict(list)
     for r in out:
         got[r.class_id].append(r.doc_id)
-    assert Counter(tuple(sorted(g)) for g in got.values()) == brute(rows)
+    assert Counter(tuple(sorted(g)) for g in got.values()) == brute(rows, weighted=weigh is not None)
     assert sum(r.kept for r in out) == len(got) and all(r.class_size == len(got[r.class_id]) for r in out)
 
 
@@ -101,8 +107,9 @@ def test_near_duplicates_edges(spark):
     assert len({r.class_id for r in out}) == 1 and sum(r.kept for r in out) == 1
     left = dart.drop_near_duplicates(table(spark, near_rows(3)))
     assert left.columns == table(spark, []).columns and left.count() == sum(brute(near_rows(3)).values())
-    weighted = dart.near_duplicates(table(spark, [(1, "a b c d e f " * 9, "s"), (2, "a b c d e f " * 3, "s")]), weighted=True)
-    assert weighted.select("class_id").distinct().count() == 2
+    few = table(spark, [(1, "a b c d e f " * 9, "s"), (2, "a b c d e f " * 3, "s")])
+    assert dart.near_duplicates(few).select("class_id").distinct().count() == 2
+    assert dart.near_duplicates(few, weigh=lambda x, n: n ** 0.1).select("class_id").distinct().count() == 1
 
 
 def test_signatures_estimate_similarity():
@@ -120,6 +127,14 @@ def test_signatures_estimate_similarity():
     x = np.array([5, 9], np.uint64)
     two = dart.dart_signatures(np.concatenate([x, x]), np.array([1, 3, 3, 1]), np.array([2, 2]), 400)
     assert abs((two[0] == two[1]).mean() - 2 / 6) < 0.1  # weighted: min 1 + 1 of max 3 + 3
+    for _ in range(4):  # real weights, small and large
+        m = 80
+        x = rng.integers(0, 2**63, m).astype(np.uint64)
+        a, b = np.exp(rng.normal(0, 2, m)), np.exp(rng.normal(0, 2, m))
+        sig = dart.dart_signatures(np.concatenate([x, x]), np.concatenate([a, b]), np.array([m, m]), 2000)
+        assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
+    heavy = dart.dart_signatures(np.concatenate([x[:3], x[:3]]), np.array([1e6, 2.0, 3e5, 2e6, 0.5, 3e5]), np.array([3, 3]), 2000)
+    assert abs((heavy[0] == heavy[1]).mean() - 1.3 / 2.3) < 0.05
 
 
 def brute_lines(rows, key=None):
