@@ -37,29 +37,25 @@ def stream_state(arrivals: DataFrame, files_per_batch: int = 4096, rows_per_stor
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
         "spark.sql.shuffle.partitions": str(stores),
     }
-    before = {k: spark.conf.get(k, None) for k in conf}
+    own = spark.newSession()  # the caller's settings stay as they are
     for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        updates = (
-            spark.readStream.schema(arrivals.schema)
-            .option("maxFilesPerTrigger", files_per_batch)
-            .parquet(folder)
-            .groupBy("_digest")
-            .agg(F.max(F.struct("_id", "_loc")).alias("_stay"), F.count(F.lit(1)).alias("_n"))
-        )
-        # a replayed micro-batch overwrites its own folder, so each update counts once
-        query = (
-            updates.writeStream.outputMode("update")
-            .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"))
-            .option("checkpointLocation", marks)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        own.conf.set(k, v)
+    updates = (
+        own.readStream.schema(arrivals.schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
+        .groupBy("_digest")
+        .agg(F.max(F.struct("_id", "_loc")).alias("_stay"), F.count(F.lit(1)).alias("_n"))
+    )
+    # a replayed micro-batch overwrites its own folder, so each update counts once
+    query = (
+        updates.writeStream.outputMode("update")
+        .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+        .option("checkpointLocation", marks)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     remove(spark, marks)
     updated = spark.read.schema(updates.schema).parquet(f"{out}/batch=*")
     # identifiers and counts only grow, so the largest is the last
@@ -118,7 +114,13 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; same columns."""
+    """``docs`` without the rows that ``exact_dedup`` drops; same columns.
+
+    Null counts as empty, so one of all null and empty texts stays; of equal texts
+    the largest id, and of rows that repeat it the last stored, stays; null ids
+    are below all others; texts of any length are compared whole; an empty table
+    gives no rows; extra columns, of whatever names, are carried along.
+    """
     docs = filed(docs, "dedup-input")
     names = docs.columns
     rows = located(docs, **{f"_c{i}": docs[c] for i, c in enumerate(names)})

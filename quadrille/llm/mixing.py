@@ -1,11 +1,12 @@
 """Mixing sources to target weights by systematic sampling, in SQL functions only.
 
-Within a source, documents stand in the order (size class, salt, size, id); each
+Within a source, documents stand in the order (size class, hash, size, id); each
 adds its expected copies (target / source size) to a prefix sum, one random
 offset shifts the whole source, and a document is emitted once per integer
 boundary that it crosses. The prefix sum has two levels - counts of (source,
-class, salt) chunks, then rank within the chunk - so that a source with a third
-of all rows is spread over many tasks.
+class, leading bits of the hash) chunks, then rank within the chunk - so that a
+source with a third of all rows is spread over many tasks. How many bits lead
+doesn't change the order, so the draw doesn't depend on it.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ CYCLE = (3, 1, 2)
 ROWS_PER_SALT = 50_000
 
 
-def _hash16(*parts: Column) -> Column:
-    """Four hex digits of an MD5 as a number below 65536."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 4), 16, 10).cast("long")
+HASH_BITS = 32
+
+
+def _hash(*parts: Column) -> Column:
+    """Eight hex digits of an MD5 as a number of ``HASH_BITS`` bits."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
@@ -71,15 +75,16 @@ def systematic_mix(
     counts = base.groupBy("_null", "_source").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("source_size"))
     counts = staged(counts, "mix-sources")
     total = counts.agg(F.sum("_rows")).first()[0] or 0
-    salts = 1 + total // rows_per_salt
-    base = base.withColumn("_class", F.floor(F.sqrt(F.col("size").cast("double")))).withColumn("_salt", _hash16(F.lit(seed), F.col("_id")) % F.lit(salts))
+    bits = min((total // rows_per_salt).bit_length(), HASH_BITS)
+    base = base.withColumn("_class", F.floor(F.sqrt(F.col("size").cast("double")))).withColumn("_hash", _hash(F.lit(seed), F.col("_id")))
+    base = base.withColumn("_salt", F.shiftright("_hash", HASH_BITS - bits))
     keys = ["_null", "_source", "_class", "_salt"]
     chunks = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     chunks = chunks.withColumn("_before", F.sum("_n").over(Window.partitionBy("_null", "_source").orderBy("_class", "_salt")) - F.col("_n"))
     targets = source_targets(counts.drop("_rows"), share, cap)
     chunks = chunks.join(targets, ["_null", "_source"]).drop("_n")
-    at = base.join(chunks, keys).withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("size", "_id")))
-    offset = _hash16(F.lit(seed), F.lit("offset"), F.col("_null").cast("int").cast("string"), F.col("_source")) / F.lit(65536.0)
+    at = base.join(chunks, keys).withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", "size", "_id")))
+    offset = _hash(F.lit(seed), F.lit("offset"), F.col("_null").cast("int").cast("string"), F.col("_source")) / F.lit(float(1 << HASH_BITS))
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(offset + F.col("_at") * step) - F.floor(offset + (F.col("_at") - 1) * step)
     copies = F.least(crossed, F.lit(int(cap)).cast("long"))
@@ -87,11 +92,18 @@ def systematic_mix(
 
 
 def emit_copies(rows: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``rows``, each row once per copy, and ``copy`` from 1."""
+    """The mix itself: the columns of ``rows``, each row once per copy, and the copy's number from 1.
+
+    The number is called ``copy``, or ``copy_2`` and so on where ``rows`` has that
+    name. Null texts have no words and are taken by their place in the order alone;
+    null sources are a source; repeated rows and null ids are sampled one by one;
+    texts of any length count whole; an empty table gives no rows.
+    """
     mixed = systematic_mix(rows, **options)
     names = rows.columns
+    number = next(x for x in ("copy", *(f"copy_{k}" for k in range(2, len(names) + 3))) if x not in names)
     return (
         mixed.filter("copies > 0")
         .select(*[F.col("row").getField(c).alias(f"_c{i}") for i, c in enumerate(names)], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-        .select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_copy").alias("copy"))
+        .select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_copy").alias(number))
     )

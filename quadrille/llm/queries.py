@@ -89,10 +89,10 @@ def oracle_sql() -> dict[str, str]:
             o AS (SELECT min(k) FILTER (WHERE cap / weight > lev) AS k0, arg_min(lev, k) FILTER (WHERE cap / weight > lev) AS lev0 FROM l),
             t AS (SELECT l.*, CASE WHEN k0 IS NULL OR k < k0 THEN cap ELSE weight * lev0 END AS target FROM l, o),
             m AS (SELECT d.doc_id, d.size, t.*, floor(sqrt(d.size::DOUBLE))::BIGINT AS cls,
-                         ('0x' || substr(md5('mix/' || d.doc_id), 1, 4))::UBIGINT::BIGINT % (1 + (SELECT sum(n) FROM s) // 50000) AS salt
+                         substr(md5('mix/' || coalesce(d.doc_id::VARCHAR, '')), 1, 8) AS hash
                   FROM d JOIN t ON coalesce(d.source, '') = t.sk AND (d.source IS NULL) = t.nul),
-            a AS (SELECT *, row_number() OVER (PARTITION BY nul, sk ORDER BY cls, salt, size, doc_id::VARCHAR) AS i,
-                         ('0x' || substr(md5('mix/offset/' || nul::INT || '/' || sk), 1, 4))::UBIGINT / 65536.0::DOUBLE AS u,
+            a AS (SELECT *, row_number() OVER (PARTITION BY nul, sk ORDER BY cls, hash, size, doc_id::VARCHAR) AS i,
+                         ('0x' || substr(md5('mix/offset/' || nul::INT || '/' || sk), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u,
                          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step FROM m)
             SELECT doc_id, size, source_size, target, (least(floor(u + i * step) - floor(u + (i - 1) * step), 2) * size)::BIGINT AS taken FROM a""",
         "op8_decontamination": rf"""

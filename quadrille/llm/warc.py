@@ -107,14 +107,16 @@ class _Row:
 
 
 def members(stream) -> Iterator[bytes]:
-    """The records of a gzip archive, one at a time."""
-    z, parts, rest = zlib.decompressobj(31), [], b""
+    """The records of a gzip archive, one at a time; an archive that ends inside a record is an error."""
+    z, parts, rest, begun = zlib.decompressobj(31), [], b"", False
     while True:
         data = rest or stream.read(1 << 20)
         if not data:
+            if begun:
+                raise EOFError("the archive ends inside a record")
             return
         parts.append(z.decompress(data))
-        rest = b""
+        rest, begun = b"", not z.eof
         if z.eof:
             yield b"".join(parts)
             rest, z, parts = z.unused_data, zlib.decompressobj(31), []

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import io
 import json
 import math
 import re
@@ -328,7 +329,23 @@ def test_mixing(spark):
     again = mixing.systematic_mix(docs.repartition(5), rows_per_salt=500).select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "taken").collect()
     assert Counter(out) == Counter(again)
     emitted = mixing.emit_copies(docs, rows_per_salt=500)
-    assert emitted.columns == [*docs.columns[:-1], "copy", "copy"]
+    assert emitted.columns == [*docs.columns, "copy_2"]
+    assert mixing.emit_copies(docs.drop("copy"), rows_per_salt=500).columns == [*docs.columns[:-1], "copy"]
+    # the number of salts changes nothing
+    one = mixing.systematic_mix(docs).select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "taken").collect()
+    assert Counter(out) == Counter(one)
+    # the same draw, document by document
+    place = defaultdict(list)
+    for k, (i, t, _, src) in enumerate(rows):
+        size, name = len((t or "").split()), "" if i is None else str(i)
+        place[src].append((math.isqrt(size), int(hashlib.md5(f"mix/{name}".encode()).hexdigest()[:8], 16), size, name, i))
+    want = Counter()
+    for src, held in place.items():
+        u = int(hashlib.md5(f"mix/offset/{int(src is None)}/{src or ''}".encode()).hexdigest()[:8], 16) / 2**32
+        step = target[src] / sizes[src] if sizes[src] else 0.0
+        for n, (_, _, size, _, i) in enumerate(sorted(held, key=lambda x: x[:4]), 1):
+            want[i, src, min(math.floor(u + n * step) - math.floor(u + (n - 1) * step), 2)] += 1
+    assert Counter((r.doc_id, r.source, r.copies) for r in out) == want
     assert emitted.count() == sum(r.copies for r in out)
     assert mixing.systematic_mix(table(spark, [])).count() == 0
 
@@ -361,6 +378,10 @@ def test_warc_payloads_survive(spark, tmp_path):
     records = warc.read_archives(spark, warc.write_archives(pages, folder), folder, payloads=True).collect()
     assert {int(r.page): bytes(r.payload).decode() for r in records} == {i: h for i, _, h in rows}
     assert all(r.digest == r.declared for r in records)
+    whole = next((tmp_path / "w").glob("*.gz")).read_bytes()
+    assert len(list(warc.members(io.BytesIO(whole)))) > 0
+    with pytest.raises(EOFError):
+        list(warc.members(io.BytesIO(whole + whole[:50])))
 
 
 @pytest.fixture(scope="module")
