@@ -73,8 +73,8 @@ SPARQL: dict[str, tuple[str, str]] = {
         f"SELECT {C} || c_custkey AS x, c_name AS cn, NULL::VARCHAR AS sn FROM customer WHERE c_name LIKE '%7' UNION ALL SELECT {S} || s_suppkey, NULL, s_name FROM supplier",
     ),
     "minus_customers_with_orders": (
-        "SELECT ?c WHERE { ?c a :Customer MINUS { ?o :orders.customer ?c } }",
-        f"SELECT {C} || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "SELECT ?c WHERE { ?c a :Customer MINUS { ?o :orders.customer ?c ; :o_orderstatus \"P\" } }",
+        f"SELECT {C} || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     ),
     "minus_disjoint_vars": ("SELECT ?r WHERE { ?r a :Region MINUS { ?x :n_name ?y } }", f"SELECT {R} || r_regionkey AS r FROM region"),
     "minus_maybe_unbound": (
@@ -101,7 +101,32 @@ SPARQL: dict[str, tuple[str, str]] = {
     ),
     "cartesian_product": ("SELECT ?r ?s WHERE { ?r :r_name ?x . ?s :n_name ?y FILTER(STRLEN(?y) > 7) }", f"SELECT {R} || r_regionkey AS r, {N} || n_nationkey AS s FROM region, nation WHERE length(n_name) > 7"),
     "semijoin_syntax": ("SELECT ?n WHERE { ?n :n_name ?x SEMIJOIN { ?s :supplier.nation ?n } }", f"SELECT {N} || n_nationkey AS n FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)"),
-    "antijoin_syntax": ("SELECT ?n WHERE { ?n :n_name ?x ANTIJOIN { ?s :supplier.nation ?n } }", f"SELECT {N} || n_nationkey AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)"),
+    "antijoin_syntax": ("SELECT ?n WHERE { ?n :n_name ?x ANTIJOIN { ?s :supplier.nation ?n ; :s_acctbal ?b FILTER(?b > 7000) } }", f"SELECT {N} || n_nationkey AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000)"),
+    "exists_union_correlated": (
+        "SELECT ?c WHERE { ?c :c_acctbal ?b ; :c_nationkey ?k FILTER EXISTS { { ?s :s_nationkey ?k ; :s_acctbal ?t FILTER(?t < ?b) } UNION { ?o :orders.customer ?c ; :o_totalprice ?p FILTER(?p < ?b * 20) } } }",
+        f"SELECT {C} || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < c_acctbal) OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < c_acctbal * 20)",
+    ),
+    "exists_bind_correlated": (
+        "SELECT ?c WHERE { ?c :c_acctbal ?b ; :c_nationkey ?k FILTER EXISTS { ?s :s_nationkey ?k ; :s_acctbal ?t BIND(?t - ?b AS ?d) FILTER(?d > 3000) } }",
+        f"SELECT {C} || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal - c_acctbal > 3000)",
+    ),
+    "not_exists_optional_correlated": (
+        "SELECT ?s ?none WHERE { ?s :s_acctbal ?b ; :s_nationkey ?k BIND(NOT EXISTS { ?n :n_nationkey ?k OPTIONAL { ?c :c_nationkey ?k ; :c_acctbal ?t FILTER(?t > ?b) } FILTER(BOUND(?c)) } AS ?none) }",
+        f"SELECT {S} || s_suppkey AS s, NOT EXISTS (SELECT 1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey = s_nationkey AND c_acctbal > s_acctbal) AS none FROM supplier",
+    ),
+    "lateral_aggregate": (
+        "SELECT ?c ?n ?t WHERE { ?c :c_mktsegment \"BUILDING\" LATERAL { SELECT (COUNT(?o) AS ?n) (MAX(?p) AS ?t) WHERE { ?o :orders.customer ?c ; :o_totalprice ?p ; :o_orderstatus \"P\" } } }",
+        f"SELECT {C} || c_custkey AS c, count(o_orderkey) AS n, max(o_totalprice) AS t FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING' GROUP BY c_custkey",
+    ),
+    "lateral_group_by": (
+        "SELECT ?c ?f ?n WHERE { ?c :c_mktsegment \"BUILDING\" LATERAL { SELECT ?f (COUNT(*) AS ?n) WHERE { ?o :orders.customer ?c ; :o_orderstatus ?f } GROUP BY ?f } }",
+        f"SELECT {C} || c_custkey AS c, o_orderstatus AS f, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY ALL",
+    ),
+    "lateral_filter": (
+        "SELECT ?c ?o WHERE { ?c :c_acctbal ?b LATERAL { ?o :orders.customer ?c ; :o_totalprice ?p FILTER(?p < ?b * 20) } }",
+        f"SELECT {C} || c_custkey AS c, {O} || o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice < c_acctbal * 20",
+    ),
+    "path_star_mapped": ("SELECT ?x ?y WHERE { ?x (^:orders.customer/:orders.customer)* ?y }", f"SELECT {C} || c_custkey AS x, {C} || c_custkey AS y FROM customer"),
     "lateral_topk": (
         "SELECT ?c ?k WHERE { ?c :c_mktsegment \"BUILDING\" LATERAL { SELECT ?c ?k WHERE { ?o :orders.customer ?c ; :o_totalprice ?k } ORDER BY DESC(?k) LIMIT 2 } }",
         f"SELECT {C} || c_custkey AS c, o_totalprice AS k FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS i FROM orders) ON o_custkey = c_custkey WHERE i <= 2 AND c_mktsegment = 'BUILDING'",

@@ -92,13 +92,51 @@ class Compiler:
         return rel, flags
 
     def correlated(self, pattern: Any, outer: Relation, ctx: Context) -> tuple[Relation, Callable[[Relation], Column] | None]:
-        """The inner relation of an EXISTS, and its outermost filter where that mentions outer variables."""
-        if isinstance(pattern, A.Filter):
+        """The inner relation of an EXISTS, and its outermost filter where that alone mentions outer variables.
+
+        Deeper mentions get the distinct outer bindings joined in where they are evaluated.
+        """
+        if isinstance(pattern, A.Filter) and not _has_exists(pattern.condition):
             inner = {v.name for v in A.pattern_vars(pattern.pattern)}
             if any(n in outer.slots and n not in inner for n in A.expr_vars(pattern.condition)):
-                rel = self.pattern(pattern.pattern, ctx)
+                rel = self.pattern(self.injected(pattern.pattern, outer), ctx)
                 return rel, lambda view: self.evaluator(view, ctx).test(pattern.condition)
-        return self.pattern(pattern, ctx), None
+        return self.pattern(self.injected(pattern, outer), ctx), None
+
+    def injected(self, p: Any, outer: Relation) -> Any:
+        """``p`` with the distinct bindings of ``outer`` joined to each group whose expressions mention outer variables that it doesn't bind.
+
+        The variables that the group shares with ``outer`` come along, so the join is on them where there are any.
+        """
+
+        def bound(x: Any, e: tuple) -> Any:
+            own = {v.name for v in A.pattern_vars(x)}
+            needed = [n for n in outer.slots if n in A.expr_vars(e) and n not in own]
+            if not needed:
+                return x
+            frame = outer.only([n for n in outer.slots if n in needed or n in own])
+            return A.Join(A.Frame(Relation(frame.df.distinct(), frame.slots)), x)
+
+        def walk(x: Any) -> Any:
+            if isinstance(x, (A.Join, A.Union, A.Lateral)):
+                return replace(x, left=walk(x.left), right=walk(x.right))
+            if isinstance(x, A.LeftJoin):
+                left, right = walk(x.left), walk(x.right)
+                if x.condition is not None:
+                    both = {v.name for v in A.pattern_vars(right)}
+                    left = left if A.expr_vars(x.condition) <= both else bound(left, ("op", "&&", [("var", n) for n in A.expr_vars(x.condition) - both]))
+                return replace(x, left=left, right=right)
+            if isinstance(x, (A.Minus, A.SemiJoin)):
+                return replace(x, left=walk(x.left))
+            if isinstance(x, A.Graph):
+                return replace(x, pattern=walk(x.pattern))
+            if isinstance(x, A.Filter):
+                return replace(x, pattern=bound(walk(x.pattern), x.condition))
+            if isinstance(x, A.Extend):
+                return replace(x, pattern=bound(walk(x.pattern), x.expr))
+            return x
+
+        return walk(p)
 
     # patterns
     def pattern(self, p: Any, ctx: Context) -> Relation:
@@ -113,7 +151,7 @@ class Compiler:
     def p_bgp(self, p: A.Bgp, ctx: Context) -> Relation:
         plain = [t for t in p.triples if not _is_path(t.p)]
         rest = [t for t in p.triples if _is_path(t.p)]
-        parts = self.ordered(self.stars(plain, ctx))
+        parts = self.stars(plain, ctx)
         for t in rest:
             parts.append(self.path(t.s, t.p, t.o, ctx))
         out = None
@@ -123,9 +161,6 @@ class Compiler:
         # blank nodes of the pattern stay joined inside the group: they are dropped by projection
         return out
 
-    def ordered(self, parts: list[Relation]) -> list[Relation]:
-        return parts
-
     @staticmethod
     def connected(parts: list[Relation]) -> list[Relation]:
         """An order in which each part shares a variable with those before it, if there is one."""
@@ -147,7 +182,8 @@ class Compiler:
                 fixed = all(isinstance(t.p, Iri) for t in ts) and not any(isinstance(t.p, Iri) and t.p.value == T.RDF_TYPE and isinstance(t.o, Var) for t in ts)
                 out += [self.star(s, ts)] if fixed else [self.scan(t, ctx) for t in ts]
             return out
-        return [self.scan(t, ctx) for t in triples]
+        # the most constants first: the joins begin with what scans filter most
+        return [self.scan(t, ctx) for t in sorted(triples, key=lambda t: -sum(not isinstance(x, Var) for x in (t.s, t.p, t.o, t.o)))]
 
     def star(self, s: Any, triples: list[A.Triple]) -> Relation:
         """All triples of one subject from one scan of each table that has them."""
@@ -282,11 +318,10 @@ class Compiler:
         edges = self.path(x, p.path, y, ctx)
         a, b = edges.lookup(x.name), edges.lookup(y.name)
         native = a.kind == b.kind == "key" and a.table == b.table or a.kind == b.kind and a.kind in ("int", "str", "node")
+        if native and a.kind == "key" and any(not isinstance(t, Var) and not (isinstance(t, Iri) and self.dataset.parse_key(a.table, t.value) is not None) for t in (s, o)):
+            native = False  # an end outside the table has no key, and still matches itself
         get = (lambda v: v.col) if native else term
         shape = replace(a, maybe=False) if native else Value("term", F.col("x"), maybe=False)
-        if not native and a.kind != "term" and b.kind == "term":
-            # a node per step: only objects that are nodes go on, but literals may end a path
-            pass
         frame = edges.df.select(get(a).alias("x"), get(b).alias("y"))
 
         def constant(t) -> Column | None:
@@ -302,10 +337,10 @@ class Compiler:
 
         cs, co = constant(s), constant(o)
         if p.most is not None and (p.counting or p.most > 1):
-            zero = self.zero_pairs(frame, native, cs, co, ctx) if p.least == 0 else None
+            zero = self.zero_pairs(frame, a.table if native else None, native, cs, co, ctx) if p.least == 0 else None
             pairs = paths.bounded(frame, p.least, p.most, zero)
         elif p.most is not None:  # p?
-            pairs = frame.union(self.zero_pairs(frame, native, cs, co, ctx)).distinct()
+            pairs = frame.union(self.zero_pairs(frame, a.table if native else None, native, cs, co, ctx)).distinct()
         else:
             if cs is not None:
                 pairs = paths.reachable(frame, self.spark.range(1).select(cs.alias("x")))
@@ -314,7 +349,7 @@ class Compiler:
             else:
                 pairs = paths.closure(frame)
             if p.least == 0:
-                pairs = pairs.union(self.zero_pairs(frame, native, cs, co, ctx)).distinct()
+                pairs = pairs.union(self.zero_pairs(frame, a.table if native else None, native, cs, co, ctx)).distinct()
             elif p.least > 1:
                 pairs = paths.bounded(frame, p.least, p.least, None).toDF("x", "m").join(pairs.toDF("m", "y").union(frame.select(F.col("x").alias("m"), F.col("x").alias("y")).distinct()), "m").select("x", "y").distinct()
         rel = Relation.select(pairs, {x.name: shape.with_col(F.col("x")), y.name: shape.with_col(F.col("y"))})
@@ -330,13 +365,17 @@ class Compiler:
                     names[t.name] = rel.lookup(v.name)
         return Relation.select(rel.df, names)
 
-    def zero_pairs(self, frame: DataFrame, native: bool, cs, co, ctx: Context) -> DataFrame:
+    def zero_pairs(self, frame: DataFrame, table: str | None, native: bool, cs, co, ctx: Context) -> DataFrame:
         """(x, x) of every node of the graph, and of constant ends."""
         if cs is not None or co is not None:
             return self.spark.range(1).select((cs if cs is not None else co).alias("x"), (cs if cs is not None else co).alias("y"))
         if native:
-            # in a mapped key space the nodes are the rows of the table; the path's own ends otherwise
-            nodes = frame.select("x").union(frame.select("y")).filter("x is not null").distinct()
+            # in a mapped key space the nodes are the rows of the table, and what its references name besides
+            nodes = frame.select("x").union(frame.select("y"))
+            if table is not None:
+                place = self.dataset.tables[table]
+                nodes = nodes.union(place.df.select(F.col(place.key).cast(frame.schema["x"].dataType).alias("x")))
+            nodes = nodes.filter("x is not null").distinct()
             return nodes.select("x", F.col("x").alias("y"))
         quads, _ = self.quads(ctx)
         nodes = quads.select(term(Value("node", F.col("s"))).alias("x")).union(quads.select(F.col("o").alias("x"))).distinct()
@@ -431,7 +470,11 @@ class Compiler:
         return self.solutions(p.query, ctx)
 
     def p_lateral(self, p: A.Lateral, ctx):
-        """The right side sees the left row. A sub-select with ORDER BY and LIMIT is a top-k by the shared variables; all else is a join."""
+        """The right side sees the left row.
+
+        A sub-select with LIMIT is a top-k by the shared variables, one with aggregates is
+        grouped by them; expressions that mention left variables get the left bindings.
+        """
         left = self.pattern(p.left, ctx)
         if isinstance(p.right, A.SubQuery):
             q = p.right.query
@@ -449,12 +492,32 @@ class Compiler:
                 top = inner.df.withColumn(rank, F.row_number().over(window)).filter((F.col(rank) > q.offset) & (F.col(rank) <= q.offset + (q.limit if q.limit is not None else 2**31 - 1)))
                 keep = [v.name for v, _ in q.select] if q.select is not None else list(inner.slots)
                 return join(left, Relation(top, inner.slots).only(list(dict.fromkeys([*names, *keep]))))
+            if q.group is not None or _aggregates(q):
+                return self.lateral_groups(left, q, names, ctx)
         if isinstance(p.right, (A.Extend, A.Filter)) and isinstance(p.right.pattern, A.Empty):
             moved = replace(p.right, pattern=A.Empty())
             rel, flags = self.flagged(left, moved.expr if isinstance(moved, A.Extend) else moved.condition, ctx)
             ev = self.evaluator(rel, ctx, flags)
             return rel.add(moved.var.name, ev.value(moved.expr)) if isinstance(moved, A.Extend) else rel.filter(ev.test(moved.condition))
-        return join(left, self.pattern(p.right, ctx))
+        return join(left, self.pattern(self.injected(p.right, left), ctx))
+
+    def lateral_groups(self, left: Relation, q: A.Query, names: list[str], ctx: Context) -> Relation:
+        """Aggregates of the right side for each left row: groups by the shared variables; left rows without a solution get the empty group."""
+        if q.limit is not None or q.offset or q.select is None:
+            raise Unsupported("LATERAL with aggregates and a slice")
+        if any(left.slots[n].maybe for n in names):
+            raise Unsupported("LATERAL with aggregates over variables that may be unbound")
+        chosen = {v.name for v, _ in q.select}
+        by = [(Var(n), None) for n in names]
+        inner = self.injected(q.where, left)
+        each = replace(q, where=inner, group=[*by, *[(v, e) for v, e in q.group or [] if v.name not in names]], select=[*[(v, e) for v, e in by if v.name not in chosen], *q.select], order=[])
+        out = join(left, self.solutions(each, ctx))
+        if q.group:
+            return out
+        # no solution at all: the aggregates of nothing
+        some = self.solutions(replace(each, having=[], select=by), ctx)
+        none = join(semi(left, some, True), self.solutions(replace(q, where=A.Filter(("term", T.Literal("false", T.XSD + "boolean")), q.where), order=[]), ctx).only([n for n in chosen if n not in names]))
+        return union(out, none)
 
     def p_service(self, p: A.Service, ctx):
         names = [v.name for v in A.pattern_vars(p.pattern)]
