@@ -23,8 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     """``df`` written to the shared folder and read back; this cuts the lineage of fixpoint loops and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
