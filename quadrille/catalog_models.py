@@ -64,6 +64,13 @@ def _difference(spark, sf_dir) -> QuadDataset:
     return QuadDataset(head.unionByName(parts[0]).unionByName(parts[1]))
 
 
+def difference_write_read(spark, sf_dir):
+    path = fresh_folder(spark, "difference")
+    modelxml.write(_difference(spark, sf_dir), path, {"cim": NS})  # containers are read as graphs only in documents that declare cim
+    m = Model(read_models(spark, spark.read.text(path).inputFiles()))
+    return flat(m.forward()).withColumn("part", F.lit("forward")).union(flat(m.reverse()).withColumn("part", F.lit("reverse")))
+
+
 def difference_containers(spark, sf_dir):
     m = Model(_difference(spark, sf_dir))
     one = spark.range(1)
@@ -363,6 +370,7 @@ _PART, _CUST = _columns("part"), _columns("customer")
 MODELS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "model_write_read": (model_write_read, _NATIONS),
     "model_from_stream": (model_from_stream, _NATIONS),
+    "difference_write_read": (difference_write_read, f"WITH t AS ({_NATIONS}), x AS (SELECT *, regexp_extract(s, '([0-9]+)$', 1)::INT AS n FROM t) SELECT s, p, k, v, 'forward' AS part FROM x WHERE n < 5 UNION ALL SELECT s, p, k, v, 'reverse' FROM x WHERE n > 20"),
     "difference_containers": (difference_containers, "SELECT true AS difference, false AS \"full\", 3 * count(*) FILTER (WHERE n_nationkey < 5) AS forward, 3 * count(*) FILTER (WHERE n_nationkey > 20) AS reverse, 0::BIGINT AS preconditions FROM nation"),
     "ntriples_round_trip": (
         ntriples_round_trip,
