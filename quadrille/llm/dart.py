@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, filed, located, remove, slices, staged
+from .common import byte_texts, filed, located, remove, returning, slices, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -205,7 +205,7 @@ def signatures(rows: DataFrame, width: int, bands: int, rows_: int, weigh: Weigh
                 )
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "_loc", "_text").mapInArrow(run, f"_id {kind}, _loc string, cls binary, n double, bands array<bigint>, sketch binary")
+    return rows.select("_id", "_loc", "_text").mapInArrow(returning(run), f"_id {kind}, _loc string, cls binary, n double, bands array<bigint>, sketch binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray | None = None, nb: np.ndarray | None = None) -> float:
@@ -237,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, w
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(returning(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], ["a", "b"])
 
     a, b = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(returning(run), "a binary, b binary")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

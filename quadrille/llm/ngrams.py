@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, staged
+from .common import byte_texts, returning, slices, staged
 
 #: Bytes of text to a shard, and the exchanges that scoring takes.
 SHARD_BYTES = 16 << 20
@@ -167,9 +167,9 @@ def _exchanged(rows: DataFrame, layout: Layout, vocabulary, trained, rounds: int
             # a word's salts may share no shard, as no word spreads over more than there are
             yield from _as_batch(((p, _packed(*(x[np.concatenate(at)] for x in (b, c, n)))) for p, at in out.items()), True)
 
-    blocks = rows.mapInArrow(pack, "part int, hot boolean, block binary")
+    blocks = rows.mapInArrow(returning(pack), "part int, hot boolean, block binary")
     if hot is not None:
-        blocks = blocks.unionAll(hot.mapInArrow(spread, "part int, hot boolean, block binary"))
+        blocks = blocks.unionAll(hot.mapInArrow(returning(spread), "part int, hot boolean, block binary"))
     return blocks.repartitionById(-(-layout.shards // rounds), F.col("part"))
 
 
@@ -192,9 +192,17 @@ class Counts:
             own = np.repeat(trains, n) > 0
             found.append([x[own] for x in abc])
         a, b, c = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+        del found
         # keys stay below 2**63: numbers are less than 2**31, and pairs fewer than the shard's tokens
-        self.pairs, at = np.unique(b * size + a, return_inverse=True)
-        self.three, self.n3 = np.unique(at * size + c, return_counts=True)
+        a += b * size
+        del b
+        self.pairs, at = np.unique(a, return_inverse=True)
+        del a
+        at *= size
+        at += c
+        del c
+        self.three, self.n3 = np.unique(at, return_counts=True)
+        del at
         self.two, self.n2 = np.unique(self.pairs[self.three // size] // size * size + self.three % size, return_counts=True)
         if hot:
             table = [np.concatenate(x) for x in zip(*map(_opened, hot))]
@@ -243,7 +251,7 @@ def vocabulary_of(rows: DataFrame, trained) -> tuple[np.ndarray, np.ndarray]:
                 hashes, ids, _ = _words(texts[i:j])
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[2:]), pa.array(np.bincount(ids, minlength=len(hashes))[2:])], ["w", "n"])
 
-    found = rows.mapInArrow(tell, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(returning(tell), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     words = found.orderBy(F.desc("n"), "w").select("w").toArrow().column(0).to_numpy()  # 8 bytes a word
     order = np.argsort(words)
     return words[order], (order + FIRST).astype(np.int32)
@@ -267,7 +275,7 @@ def layout_of(rows: DataFrame, vocabulary) -> tuple[Layout, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(w[top], -1).astype(np.int64)), pa.array(np.append(n[top], len(b)).astype(np.int64))], ["w", "n"])
 
     some = rows.filter(F.pmod(F.xxhash64("key"), F.lit(LAYOUT_ROWS)) == 0).select("text")
-    found = dict(some.mapInArrow(often, "w long, n long").groupBy("w").agg(F.sum("n")).collect())  # at most four words a shard and block
+    found = dict(some.mapInArrow(returning(often), "w long, n long").groupBy("w").agg(F.sum("n")).collect())  # at most four words a shard and block
     total = found.pop(-1, 0)
     spread = {w: min(shards, -(-2 * n * shards // total)) for w, n in found.items() if 2 * n * shards > total}
     hot = np.array(sorted(w for w in spread if spread[w] > 1), np.int64)
@@ -307,7 +315,7 @@ def _scores(rows: DataFrame, trained: np.ndarray, discounts) -> DataFrame:
                 j = slice(i, i + (1 << 18))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[j]), kind, np.int32)), *(pa.array(y[j].astype(np.int64)) for y in (b, c, n))], ["kind", "b", "c", "n"])
 
-    counted = staged(_exchanged(rows, layout, vocabulary, marks, 1, 0, True).mapInArrow(count, "kind int, b long, c long, n long"), "kn-counts")
+    counted = staged(_exchanged(rows, layout, vocabulary, marks, 1, 0, True).mapInArrow(returning(count), "kind int, b long, c long, n long"), "kn-counts")
     hot = staged(counted.filter("kind = 0").groupBy("b", "c").agg(F.sum("n").alias("n")), "kn-frequent")
     seen = {k: defaultdict(int) for k in (1, 2, 3)}
     for r in counted.filter("kind >= 2").groupBy("kind", "c").agg(F.sum("n").alias("n")).collect():
@@ -347,7 +355,7 @@ def _scores(rows: DataFrame, trained: np.ndarray, discounts) -> DataFrame:
 
     out = None
     for turn in range(rounds):
-        part = _exchanged(rows, layout, vocabulary, marks, rounds, turn, False, hot).mapInArrow(score, "key long, s long, n long")
+        part = _exchanged(rows, layout, vocabulary, marks, rounds, turn, False, hot).mapInArrow(returning(score), "key long, s long, n long")
         part = staged(part.groupBy("key").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "kn-sums")
         out = part if out is None else out.unionAll(part)
     return out.groupBy("key").agg((F.sum("s") / F.lit(STEPS)).alias("log_prob"), F.sum("n").alias("n_tokens"))

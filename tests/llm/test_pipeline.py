@@ -4,10 +4,14 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql.types import LongType
 
 import corpus_pipeline
+from quadrille.llm import common, dart
 from tests.llm.test_dedup import brute
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, copy string"
@@ -93,3 +97,26 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """A worker outlives its tasks, so each gives freed memory back, also where its result isn't read to the end."""
+    times = []
+    monkeypatch.setattr(common, "give_back", lambda: times.append(1), raising=False)
+
+    class Rows:
+        schema = {"_id": SimpleNamespace(dataType=LongType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    run = dart.signatures(Rows(), 5, 4, 2, None)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "b"]), pa.array(["some words here", None])], ["_id", "_loc", "_text"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 2 and len(times) == 1
+    part = run(iter([batch]))
+    next(part)
+    part.close()
+    assert len(times) == 2
