@@ -7,7 +7,8 @@ Frequent words are spread over several shards by a; their bigram counts are then
 over shards and sent to each. Words are told apart by 64-bit hashes (BLAKE2b) and numbered
 by their frequency in training; others share a number. Tokens travel in packed blocks, one
 a batch of texts and shard, in ``ROUNDS`` exchanges of a part of the shards each, whose
-files go before the next. Only hashes, numbers and continuation counts of training words
+files go before the next. Tasks get their rows in batches of about a block's bytes, however
+long the texts are. Only hashes, numbers and continuation counts of training words
 (16 bytes a word) and the keys of training rows (8 bytes each) are broadcast. Logs are
 summed in fixed point: results don't depend on the layout.
 """
@@ -15,6 +16,7 @@ summed in fixed point: results don't depend on the layout.
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -32,6 +34,8 @@ SHARD_BYTES = 16 << 20
 ROUNDS = 2
 #: Texts to a packed block, in bytes.
 BLOCK_BYTES = 8 << 20
+#: Tokens whose shards are found at once.
+PIECE = 1 << 17
 #: One row in so many tells which words are frequent, which decides on the layout only.
 LAYOUT_ROWS = 16
 #: Steps of the fixed-point logs to one.
@@ -44,7 +48,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known: defaultdict = defaultdict()
     known.default_factory = known.__len__
     known[b" start"], known[b" end"]  # noqa: B018 - indices 0 and 1; no word holds a space
-    ids: list[int] = []
+    ids = array("i")
     counts = np.empty(len(texts), np.int64)
     get = known.__getitem__
     for i, t in enumerate(texts):
@@ -52,8 +56,11 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids.extend(map(get, words))
         ids.append(1)
         counts[i] = len(words) + 1
-    hashes = b"".join([blake2b(w, digest_size=8).digest() for w in known])
-    return np.frombuffer(hashes, "<i8").astype(np.int64), np.array(ids, np.int32), counts
+    known.default_factory = None  # a cycle: the words would stay until Python happens to collect its garbage
+    hashes = bytearray()
+    for w in known:
+        hashes += blake2b(w, digest_size=8).digest()
+    return np.frombuffer(hashes, "<i8").astype(np.int64), np.frombuffer(ids, np.int32), counts
 
 
 def _tokens(texts: list[bytes], vocabulary: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +70,7 @@ def _tokens(texts: list[bytes], vocabulary: tuple[np.ndarray, np.ndarray]) -> tu
     numbers = np.where(at >= 0, vocabulary[1][at], UNK).astype(np.int32) if len(vocabulary[0]) else np.full(len(hashes), UNK, np.int32)
     numbers[:2] = START, END
     c = numbers[ids]
+    del ids
     begins = np.cumsum(counts) - counts
     b, a = np.roll(c, 1), np.roll(c, 2)
     b[begins] = START
@@ -82,10 +90,12 @@ class Layout:
         return np.where(at >= 0, self.spread[at], 1) if len(self.hot) else np.ones(len(b), np.int64)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        shard, spread = b % self.shards, self.spreads(b)
-        more = np.flatnonzero(spread > 1)
-        salt = (a[more].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % spread[more]
-        shard[more] = (shard[more] + salt) % self.shards
+        shard = b % self.shards
+        for i in range(0, len(b), PIECE):
+            spread = self.spreads(b[i : i + PIECE])
+            more = np.flatnonzero(spread > 1)
+            salt = (a[i + more].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % spread[more]
+            shard[i + more] = (shard[i + more] + salt) % self.shards
         return shard
 
 
@@ -124,10 +134,16 @@ def _blocks(layout: Layout, vocabulary: tuple, rounds: int, turn: int, keys: np.
     shard = layout.of(a, b)
     mine = np.flatnonzero(shard % rounds == turn)
     part = shard[mine] // rounds
+    del shard
     order = np.argsort(part.astype(np.int16) if layout.shards < 1 << 15 else part, kind="stable")
     mine, part = mine[order], part[order]
+    del order
+    # one after the other: all tokens of each go before those of the next are picked
+    a = a[mine]
+    b = b[mine]
+    c = c[mine]
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)[mine]
-    a, b, c = a[mine], b[mine], c[mine]
+    del mine
     cuts = _starts(part)
     for i, j in zip(cuts, [*cuts[1:], len(part)]):
         at = _starts(doc[i:j])
@@ -230,15 +246,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[bytes]]:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    """Removes the files of exchanges at the end of each execution, not when the driver happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Removes the files of exchanges at the end of each execution, not when the driver happens to collect its garbage, and hands rows to tasks in batches of a block's bytes, by default 64 MB, which executors hold beside their heap and again in Python."""
+    # a batch ends with the row that passes the limit; the rest of a block's bytes is for that row, so that it starts no other block
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK_BYTES * 7 // 8)}
+    before = {k: spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def vocabulary_of(rows: DataFrame, trained) -> tuple[np.ndarray, np.ndarray]:
@@ -288,7 +307,7 @@ def scores(rows: DataFrame, trained: np.ndarray, discounts) -> DataFrame:
     ``discounts``: D1, D2 and D3+ from the numbers of n-grams seen once to four times.
     Texts are read whole, null counting as empty; no n-gram and no word is left out.
     """
-    with _cleaned(rows.sparkSession):
+    with _settings(rows.sparkSession):
         return _scores(rows, trained, discounts)
 
 

@@ -1,11 +1,13 @@
 """PII, LM scoring, quality, decontamination, mixing, WARC and HTML, with awkward rows."""
 
+import gc
 import hashlib
 import html
 import io
 import json
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -252,6 +254,53 @@ def test_quality_learns_from_all_trusted_documents(spark, monkeypatch, shard_byt
     assert costs[math.ceil(0.995 * len(costs)) - 1] == out[0].threshold
 
 
+def test_words_of_texts_go_with_them():
+    """Workers pack text after text: the words of one must not stay, not even until Python collects its garbage."""
+    texts = [" ".join(f"w{i * 100 + k}" for k in range(100)).encode() for i in range(300)]
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        hashes, ids, counts = kneser.ngrams._words(texts)
+        assert len(hashes) == 30_002 and len(ids) == counts.sum() == 30_300
+        del hashes, ids, counts
+        assert tracemalloc.get_traced_memory()[0] < 100_000
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
+def test_batches_end_by_bytes(spark, monkeypatch, tmp_path):
+    """Batches of long texts end by their bytes, also where all rows are fewer than a batch may have; scores are the same."""
+    rows = spark.range(0, 300, 1, 1).selectExpr("id AS key", "array_join(transform(sequence(1, 200), k -> 'w' || (id * k) % 997), ' ') AS text")
+    seen = tmp_path / "seen"
+
+    def spying(run):
+        def task(batches):
+            def told():
+                for batch in batches:
+                    with open(seen, "a") as f:
+                        print(batch.nbytes, file=f)
+                    yield batch
+
+            yield from run(told())
+
+        return task
+
+    def scores():
+        return sorted(map(tuple, kneser.ngrams.scores(kneser.staged(rows, "rows"), np.arange(0, 300, 2), kneser._cuts).collect()))
+
+    before = scores()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(name)
+    monkeypatch.setattr(kneser.ngrams, "returning", spying)
+    monkeypatch.setattr(kneser.ngrams, "BLOCK_BYTES", 64 << 10)
+    assert scores() == before and len(before) == 300
+    sizes = [int(x) for x in seen.read_text().split()]
+    assert max(sizes) <= 128 << 10 and sum(sizes) > 600_000  # a block's bytes, and the row that passes them
+    assert spark.conf.get(name) == limit
+
+
 def words(t):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
