@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from ..operators.relation import Relation, Slot, fresh, join, left_join, minus,
 from ..terms import Iri, Var
 from . import algebra as A
 from .parser import parse_query
+from .rewrite import alternatives, conjuncts as _conjuncts, exists_pattern, extreme, frames, has_exists as _has_exists, with_part
 
 
 class Unsupported(NotImplementedError):
@@ -71,28 +73,50 @@ class Compiler:
 
         walk(e)
         for x in found:
-            inner, condition = self.correlated(x[2], rel, ctx)
-            uid, flag = fresh("uid"), fresh("flag")
-            base = Relation(rel.df.withColumn(uid, F.monotonically_increasing_id()), rel.slots)
-            # rows are told apart by what they bind: the flag joins back on the shared variables alone
-            names = [n for n in rel.slots if n in inner.slots]
-            if condition is None and names and not any(rel.slots[n].maybe or inner.slots[n].maybe for n in names):
-                keys = inner.only(names)
-                marked = Relation(keys.df.distinct().withColumn(flag, F.lit(True)), keys.slots)
-                merged = left_join(rel, Relation(marked.df, marked.slots | {f"_:{flag}": Slot(flag, "bool")}))
-                col = merged.slots.pop(f"_:{flag}").column
-                rel = Relation(merged.df.withColumn(flag + "x", F.col(col).isNotNull()), {n: replace(merged.slots[n], maybe=s.maybe) for n, s in rel.slots.items()})
-                flags[id(x)] = flag + "x"
-                continue
-            yes = semi(base, inner, False, condition)
-            no = semi(base, inner, True, condition)
-            both = yes.df.withColumn(flag, F.lit(True)).unionByName(no.df.withColumn(flag, F.lit(False)))
-            rel = Relation(both.drop(uid), rel.slots)
+            either = []
+            for inner, condition, single in self.branches(x[2], rel, ctx):
+                rel, flag = self.flag(rel, inner, condition, single)
+                either.append(flag)
+            if len(either) > 1:
+                flag = fresh("flag")
+                rel = Relation(rel.df.withColumn(flag, reduce(Column.__or__, map(F.col, either))), rel.slots)
             flags[id(x)] = flag
         return rel, flags
 
-    def correlated(self, pattern: Any, outer: Relation, ctx: Context) -> tuple[Relation, Callable[[Relation], Column] | None]:
-        """The inner relation of an EXISTS, and its outermost filter where that alone mentions outer variables.
+    def flag(self, rel: Relation, inner: Relation, condition: Callable[[Relation], Column] | None, single: bool) -> tuple[Relation, str]:
+        """``rel`` with a boolean column: whether a row has a compatible inner row that passes."""
+        uid, flag = fresh("uid"), fresh("flag")
+        # rows are told apart by what they bind: the flag joins back on the shared variables alone
+        names = [n for n in rel.slots if n in inner.slots]
+        sure = not any(rel.slots[n].maybe or inner.slots[n].maybe for n in names)
+        if sure and (single or condition is None and names):
+            if condition is None:
+                keys = inner.only(names)
+                mark = f"_:{flag}"
+                inner = Relation(keys.df.distinct().withColumn(flag, F.lit(True)), keys.slots | {mark: Slot(flag, "bool")})
+                condition = lambda view: view.lookup(mark).col.isNotNull()
+            merged = left_join(rel, inner)
+            out = merged.df.withColumn(flag + "x", F.coalesce(condition(merged), F.lit(False)))
+            return Relation(out, {n: replace(merged.slots[n], maybe=s.maybe) for n, s in rel.slots.items()}), flag + "x"
+        base = Relation(rel.df.withColumn(uid, F.monotonically_increasing_id()), rel.slots)
+        yes = semi(base, inner, False, condition)
+        no = semi(base, inner, True, condition)
+        both = yes.df.withColumn(flag, F.lit(True)).unionByName(no.df.withColumn(flag, F.lit(False)))
+        return Relation(both.drop(uid), rel.slots), flag
+
+    def branches(self, pattern: Any, outer: Relation, ctx: Context) -> list[tuple[Relation, Callable[[Relation], Column] | None, bool]]:
+        """An EXISTS as alternatives (see ``correlated``): the branches of a UNION where that spares joining outer bindings into them."""
+        pattern = exists_pattern(pattern, set(outer.slots))
+        parts = [exists_pattern(x, set(outer.slots)) for x in alternatives(pattern)]
+        mentions = [frames(self.injected(x, outer)) > frames(x) for x in parts]
+        if len(parts) > 1 and any(mentions):
+            made = [self.correlated(x, outer, ctx) for x in parts]
+            if all(single or not mention for (_, _, single), mention in zip(made, mentions)):
+                return made
+        return [self.correlated(pattern, outer, ctx)]
+
+    def correlated(self, pattern: Any, outer: Relation, ctx: Context) -> tuple[Relation, Callable[[Relation], Column] | None, bool]:
+        """The inner relation of an EXISTS, its outermost filter where that alone mentions outer variables, and whether the relation has one row for each binding of the shared variables.
 
         Deeper mentions get the distinct outer bindings joined in where they are evaluated.
         """
@@ -100,8 +124,54 @@ class Compiler:
             inner = {v.name for v in A.pattern_vars(pattern.pattern)}
             if any(n in outer.slots and n not in inner for n in A.expr_vars(pattern.condition)):
                 rel = self.pattern(self.injected(pattern.pattern, outer), ctx)
-                return rel, lambda view: self.evaluator(view, ctx).test(pattern.condition)
-        return self.pattern(self.injected(pattern, outer), ctx), None
+                few = self.witnesses(rel, pattern.condition, outer, ctx)
+                if few is not None:
+                    return *few, True
+                return rel, lambda view: self.evaluator(view, ctx).test(pattern.condition), False
+        return self.pattern(self.injected(pattern, outer), ctx), None, False
+
+    def witnesses(self, rel: Relation, condition: tuple, outer: Relation, ctx: Context) -> tuple[Relation, Callable[[Relation], Column]] | None:
+        """``rel`` as one row for each binding of the shared variables, where one comparison alone connects it with outer values.
+
+        If any row passes ``a < outer``, the one with the least a does; so no outer row meets more than one row. None: not of this form.
+        """
+        own = {n for n in rel.slots if n not in outer.slots}
+        early, late, mixed = [], [], []
+        for c in _conjuncts(condition):
+            names = A.expr_vars(c)
+            if not names & own:
+                late.append(c)
+            else:
+                (early if names <= own else mixed).append(c)
+        found = extreme(mixed[0], own) if len(mixed) == 1 else None
+        if found is None:
+            return None
+        part, largest, alone = found
+        for c in early:
+            rel = rel.filter(self.evaluator(rel, ctx).test(c))
+        v = self.evaluator(rel, ctx).value(part)
+        if v.kind not in (("int", "dec", "dbl", "dt", "date") if alone else ("dbl",)):
+            return None  # whole numbers and decimals overflow in sums
+        choices = [v.col]
+        if not alone:  # sums with infinite values needn't rise: these are tried by themselves
+            inf = F.lit(float("inf"))
+            odd = [F.isnan(v.col), v.col == inf, v.col == -inf]
+            choices = [F.when(~(odd[0] | odd[1] | odd[2]), v.col)] + [F.when(x, v.col) for x in odd]
+        shared = [n for n in rel.slots if n not in own]
+        keys = rel.only(shared)
+        by = [rel.slots[n].value().col.alias(keys.slots[n].column) for n in shared]
+        names = [fresh("_:w") for _ in choices]
+        columns = [fresh() for _ in choices]
+        aggregates = [(F.max if largest else F.min)(x).alias(c) for x, c in zip(choices, columns)]
+        df = rel.df.filter(v.col.isNotNull()).groupBy(*by).agg(*aggregates)
+        tests = [with_part(mixed[0], part, ("var", n)) for n in names]
+
+        def passes(view: Relation) -> Column:
+            ev = self.evaluator(view, ctx)
+            out = reduce(Column.__or__, [F.coalesce(ev.test(t), F.lit(False)) for t in tests])
+            return reduce(Column.__and__, [F.coalesce(ev.test(c), F.lit(False)) for c in late], out)
+
+        return Relation(df, keys.slots | {n: Slot(c, v.kind, True) for n, c in zip(names, columns)}), passes
 
     def injected(self, p: Any, outer: Relation) -> Any:
         """``p`` with the distinct bindings of ``outer`` joined to each group whose expressions mention outer variables that it doesn't bind.
@@ -430,8 +500,16 @@ class Compiler:
             negated = c[0] == "op" and c[1] == "!" and c[2][0][0] == "exists"
             if c[0] == "exists" or negated:
                 e = c[2][0] if negated else c
-                inner, condition = self.correlated(e[2], rel, ctx)
-                rel = semi(rel, inner, e[1] != negated, condition)
+                found = self.branches(e[2], rel, ctx)
+                if len(found) == 1 or e[1] != negated:
+                    for inner, condition, _ in found:
+                        rel = semi(rel, inner, e[1] != negated, condition)
+                    continue
+                either = []
+                for inner, condition, single in found:
+                    rel, flag = self.flag(rel, inner, condition, single)
+                    either.append(F.col(flag))
+                rel = rel.filter(reduce(Column.__or__, either))
             else:
                 rest.append(c)
         for c in rest:
@@ -636,18 +714,6 @@ def _is_path(p: Any) -> bool:
     return not isinstance(p, (Var, Iri))
 
 
-def _conjuncts(e: tuple) -> list[tuple]:
-    if e[0] == "op" and e[1] == "&&":
-        return [c for x in e[2] for c in _conjuncts(x)]
-    return [e]
-
-
-def _has_exists(e: Any) -> bool:
-    if isinstance(e, tuple) and e and e[0] == "exists":
-        return True
-    return isinstance(e, (tuple, list)) and any(_has_exists(x) for x in e)
-
-
 def _has_agg(e: Any) -> bool:
     if isinstance(e, tuple) and e and e[0] == "agg":
         return True
