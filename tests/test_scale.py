@@ -51,3 +51,15 @@ def test_exists_keeps_what_an_optional_leaves_unbound(odd):
     # without BOUND the OPTIONAL decides nothing
     text = "SELECT ?a WHERE { ?a :a_v ?v ; :a_k ?k FILTER EXISTS { ?x :b_k ?k OPTIONAL { ?b :b_k ?k ; :b_v ?w FILTER(?w > ?v) } } }"
     assert found(odd, text) == sorted(a for a, k, v in LEFT if k is not None and v is not None)
+
+
+def test_exists_union_is_one_row_a_key_in_each_branch(odd):
+    branches = "{ ?x :b_k ?k ; :b_v ?w FILTER(?w < ?v) } UNION { ?y :b_key ?n ; :b_v ?u FILTER(?u >= ?v * 2) }"
+    head = "SELECT ?a WHERE { ?a :a_key ?n ; :a_v ?v ; :a_k ?k FILTER "
+    near = {k: w for k, _, w in RIGHT}
+    both = want(lambda v, w: over(v, w))
+    both = sorted({*both, *(a for a, k, v in LEFT if k is not None and v is not None and near.get(a) is not None and not over(v * 2, near[a]))})
+    df = query(odd, NS + head + f"EXISTS {{ {branches} }} }}")
+    assert "min(" in plan(df) and "max(" in plan(df)
+    assert found(odd, head + f"EXISTS {{ {branches} }} }}") == both
+    assert found(odd, head + f"NOT EXISTS {{ {branches} }} }}") == sorted(a for a, k, v in LEFT if k is not None and v is not None and a not in both)
