@@ -63,3 +63,19 @@ def test_exists_union_is_one_row_a_key_in_each_branch(odd):
     assert "min(" in plan(df) and "max(" in plan(df)
     assert found(odd, head + f"EXISTS {{ {branches} }} }}") == both
     assert found(odd, head + f"NOT EXISTS {{ {branches} }} }}") == sorted(a for a, k, v in LEFT if k is not None and v is not None and a not in both)
+
+
+@pytest.mark.parametrize("op", ["<", ">", "<=", ">="])
+@pytest.mark.parametrize("form, value", [("?w - ?v", lambda v, w: w - v), ("?v - ?w", lambda v, w: v - w), ("1 + ?w + ?v", lambda v, w: 1 + w + v)])
+@pytest.mark.parametrize("bound", ["3000", "(1.0e0/0)"])
+def test_exists_bind_is_one_row_a_key(odd, op, form, value, bound):
+    limit = 3000.0 if bound == "3000" else INF
+    tests = {"<": lambda d: over(limit, d), ">": lambda d: over(d, limit), "<=": lambda d: not over(d, limit), ">=": lambda d: not over(limit, d)}
+    text = f"SELECT ?a WHERE {{ ?a :a_v ?v ; :a_k ?k FILTER EXISTS {{ ?b :b_k ?k ; :b_v ?w BIND({form} AS ?d) FILTER(?d {op} {bound}) }} }}"
+    assert ("max(" if (op[0] == ">") == (form != "?v - ?w") else "min(") in plan(query(odd, NS + text))
+    assert found(odd, text) == want(lambda v, w: tests[op](value(v, w)))
+
+
+def test_exists_with_two_bounds_meets_all_rows(odd):
+    text = "SELECT ?a WHERE { ?a :a_v ?v ; :a_k ?k FILTER EXISTS { ?b :b_k ?k ; :b_v ?w FILTER(?w > ?v && ?w < ?v + 3000) } }"
+    assert found(odd, text) == want(lambda v, w: over(w, v) and over(v + 3000, w))
