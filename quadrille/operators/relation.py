@@ -151,6 +151,30 @@ def join(left: Relation, right: Relation) -> Relation:
     return Relation(joined.select(*columns), slots)
 
 
+#: ranges across the span of a band join, and shares of each range
+_RANGES, _SHARES = 8, 8
+
+
+def band_join(left: Relation, right: Relation, low: Column, high: Column, value: Column, span: float) -> Relation:
+    """Pairs that may have ``low <= value <= high``, by ranges of the value; the exact comparison is left to the caller.
+
+    ``low`` and ``high`` are of the left row, ``span`` apart. Without shared variables, and ``right`` under names of its own.
+    """
+    a, b, share = fresh("band"), fresh("band"), fresh("share")
+
+    def at(c: Column) -> Column:  # rises with the value; the ends take what a long can't hold
+        return F.floor(F.greatest(F.least(c.cast("double") / (span / _RANGES), F.lit(1e15)), F.lit(-1e15)))
+
+    mine = left.df.filter(low.isNotNull() & high.isNotNull()).withColumn(share, F.pmod(F.xxhash64(*[F.col(s.column) for s in left.slots.values()]), F.lit(_SHARES)))
+    mine = mine.withColumn(a, F.explode(F.sequence(at(low), at(high))))
+    theirs = right.df.filter(value.isNotNull()).withColumn(b, at(value)).withColumn(share + "r", F.explode(F.array(*[F.lit(i).cast("long") for i in range(_SHARES)])))
+    # small tables come in one task, and their pairs are many
+    n = min(int(left.spark.conf.get("spark.sql.shuffle.partitions")), 4 * left.spark.sparkContext.defaultParallelism)
+    joined = mine.repartition(n, a, share).join(theirs, (F.col(a) == F.col(b)) & (F.col(share) == F.col(share + "r")))
+    columns, slots = _merged(left, right, [], False)
+    return Relation(joined.select(*columns), slots)
+
+
 def left_join(left: Relation, right: Relation, condition: Callable[[Relation], Column] | None = None) -> Relation:
     """OPTIONAL: ``condition`` sees the merged row and decides on the match, not on the row."""
     right = right.renamed()

@@ -20,13 +20,13 @@ from .. import terms as T
 from ..dataset import MappedDataset, QuadDataset
 from ..functions.aggregates import aggregate
 from ..functions.expressions import Evaluator
-from ..functions.values import Value, ebv, equal, lexical, literal, node, same_term, sort_keys, term
+from ..functions.values import NUMBERS, Value, ebv, equal, lexical, literal, node, same_term, sort_keys, term
 from ..operators import paths
-from ..operators.relation import Relation, Slot, fresh, join, left_join, minus, semi, union
+from ..operators.relation import Relation, Slot, band_join, fresh, join, left_join, minus, semi, union
 from ..terms import Iri, Var
 from . import algebra as A
 from .parser import parse_query
-from .rewrite import alternatives, conjuncts as _conjuncts, exists_pattern, extreme, frames, has_exists as _has_exists, with_part
+from .rewrite import alternatives, band, conjuncts as _conjuncts, exists_pattern, extreme, frames, has_exists as _has_exists, with_part
 
 
 class Unsupported(NotImplementedError):
@@ -493,8 +493,35 @@ class Compiler:
         rel, flags = self.flagged(self.pattern(p.pattern, ctx), p.expr, ctx)
         return rel.add(p.var.name, self.evaluator(rel, ctx, flags).value(p.expr))
 
+    def banded(self, p: A.Filter, ctx: Context) -> Relation | None:
+        """The pattern of a filter that keeps a value of one unconnected part between two of the other, joined by ranges of that value; None: not of this form."""
+        inside = p.pattern
+        if isinstance(inside, A.Bgp):
+            groups = _connected(inside.triples)
+            if len(groups) != 2:
+                return None
+            sides = [A.Bgp(g) for g in groups]
+        elif isinstance(inside, A.Join):
+            sides = [inside.left, inside.right]
+        else:
+            return None
+        names = [{v.name for v in A.pattern_vars(x)} for x in sides]
+        if names[0] & names[1]:
+            return None
+        for i, j in ((0, 1), (1, 0)):
+            found = band(_conjuncts(p.condition), names[i], names[j])
+            if found is None:
+                continue
+            left, right = self.pattern(sides[i], ctx), self.pattern(sides[j], ctx).renamed()
+            low, high, value = (self.evaluator(r, ctx).value(e) for r, e in ((left, found[0]), (left, found[1]), (right, found[2])))
+            if set(left.slots) & set(right.slots) or any(v.kind not in NUMBERS for v in (low, high, value)):
+                return join(left, right)
+            return band_join(left, right, low.col, high.col, value.col, found[3])
+        return None
+
     def p_filter(self, p: A.Filter, ctx):
-        rel = self.pattern(p.pattern, ctx)
+        rel = self.banded(p, ctx)
+        rel = self.pattern(p.pattern, ctx) if rel is None else rel
         rest = []
         for c in _conjuncts(p.condition):
             negated = c[0] == "op" and c[1] == "!" and c[2][0][0] == "exists"
@@ -710,6 +737,16 @@ def _kind_type(kind: str) -> str:
     return {"node": "string", "str": "string", "int": "bigint", "dec": "decimal(38,18)", "dbl": "double", "bool": "boolean", "dt": "timestamp_ntz", "date": "date", "term": T.TERM_TYPE}[kind]
 
 
+def _connected(triples: list[A.Triple]) -> list[list[A.Triple]]:
+    """Triples in groups without a common variable."""
+    groups: list[tuple[set[str], list[A.Triple]]] = []
+    for t in triples:
+        names = {x.name for x in (t.s, t.p, t.o) if isinstance(x, Var)}
+        met = [g for g in groups if g[0] & names]
+        groups = [g for g in groups if not g[0] & names] + [(names.union(*(g[0] for g in met)), [x for g in met for x in g[1]] + [t])]
+    return [g[1] for g in groups]
+
+
 def _is_path(p: Any) -> bool:
     return not isinstance(p, (Var, Iri))
 

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.dataset import map_tables
 from quadrille.engine import query
@@ -79,3 +80,20 @@ def test_exists_bind_is_one_row_a_key(odd, op, form, value, bound):
 def test_exists_with_two_bounds_meets_all_rows(odd):
     text = "SELECT ?a WHERE { ?a :a_v ?v ; :a_k ?k FILTER EXISTS { ?b :b_k ?k ; :b_v ?w FILTER(?w > ?v && ?w < ?v + 3000) } }"
     assert found(odd, text) == want(lambda v, w: over(w, v) and over(v + 3000, w))
+
+
+@pytest.mark.parametrize("first, second", [("?x < ?y", "?y < ?x + 200"), ("?y >= ?x - 3", "?x + 3000 >= ?y"), ("?x < ?y", "?y < 3")])
+def test_band_join_pairs_ranges(odd, first, second):
+    df = query(odd, NS + f"SELECT ?a ?b WHERE {{ ?a :a_v ?x . ?b :b_v ?y FILTER({first} && {second}) }}")
+    assert ("Join Cross" in plan(df)) == (second == "?y < 3")
+    tests = {"?y < ?x + 200": lambda x, y: over(y, x) and over(x + 200, y), "?x + 3000 >= ?y": lambda x, y: not over(x - 3, y) and not over(y, x + 3000), "?y < 3": lambda x, y: over(y, x) and over(3, y)}
+    got = sorted(tuple(int(v.rsplit("/", 1)[1]) for v in r) for r in df.collect())
+    assert got == [(a, b) for a, _, v in LEFT for b, _, w in RIGHT if v is not None and w is not None and tests[second](v, w)]
+
+
+def test_band_join_in_several_tasks(spark):
+    d = map_tables(spark, "/root/testdata/sf0.001")
+    df = query(d, NS + "SELECT ?a ?b WHERE { ?a :c_acctbal ?x . ?b :c_acctbal ?y FILTER(?x < ?y && ?y < ?x + 200) }")
+    values = [r[0] for r in d.tables["customer"].df.select("c_acctbal").collect()]
+    assert df.count() == sum(x < y < x + 200 for x in values for y in values)
+    assert len({r[0] for r in df.select(F.spark_partition_id()).distinct().collect()}) > 1
