@@ -12,17 +12,43 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(x, y) with a number for each node, and (i, node); None for the second where nodes are whole numbers already. Rows stay as many as they are."""
+    edges = edges.toDF("x", "y").filter("x is not null and y is not null")
+    if edges.schema["x"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        return staged(edges, "path-edges"), None
+    edges = staged(edges, "path-edges")
+    nodes = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct()
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("i"), "node"), "path-nodes")
+    for end in ("x", "y"):
+        edges = edges.join(nodes.toDF("i", "n"), F.col(end) == F.col("n")).withColumn(end, F.col("i")).select("x", "y")
+    return staged(edges, "path-edges"), nodes
+
+
+def _named(pairs: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Nodes for their numbers."""
+    if nodes is None:
+        return pairs
+    for end in ("x", "y"):
+        pairs = pairs.join(nodes.toDF("i", "n"), F.col(end) == F.col("i")).withColumn(end, F.col("n")).select("x", "y")
+    return pairs
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(x, y) of one and more steps, as a set. Squaring: as many rounds as the logarithm of the longest path."""
-    reach = staged(edges.toDF("x", "y").filter("x is not null and y is not null").distinct(), "path")
-    n = reach.count()
+    """(x, y) of one and more steps, as a set. Doubling: as many rounds as the logarithm of the longest path.
+
+    A round extends walks of up to n steps by those of just n, so a pair is met once for each length of walk, not for each
+    node between; nodes are numbers meanwhile.
+    """
+    edges, nodes = _numbered(edges)
+    reach = power = staged(edges.distinct(), "path")
     while True:
-        left, right = reach.toDF("x", "m"), reach.toDF("m", "y")
-        more = staged(reach.union(left.join(right, "m").select("x", "y")).distinct(), "path")
-        m = more.count()
-        if m == n:
-            return reach
-        reach, n = more, m
+        more = reach.toDF("x", "m").join(power.toDF("m", "y"), "m").select("x", "y").distinct()
+        more = staged(more.join(reach, ["x", "y"], "left_anti"), "path")
+        if more.isEmpty():
+            return _named(reach, nodes)
+        reach = reach.union(more)
+        power = staged(power.toDF("x", "m").join(power.toDF("m", "y"), "m").select("x", "y").distinct(), "path-power")
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:

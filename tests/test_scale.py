@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.dataset import map_tables
 from quadrille.engine import query
+from quadrille.operators import paths
 
 NS = "PREFIX : <http://example.org/tpch#> "
 INF, NAN = math.inf, math.nan
@@ -97,3 +98,34 @@ def test_band_join_in_several_tasks(spark):
     values = [r[0] for r in d.tables["customer"].df.select("c_acctbal").collect()]
     assert df.count() == sum(x < y < x + 200 for x in values for y in values)
     assert len({r[0] for r in df.select(F.spark_partition_id()).distinct().collect()}) > 1
+
+
+@pytest.fixture
+def stages(monkeypatch):
+    """Types of what fixpoints write, by name of the stage."""
+    seen = {}
+    real = paths.staged
+
+    def record(df, name="staged"):
+        seen.setdefault(name, []).append(df.dtypes)
+        return real(df, name)
+
+    monkeypatch.setattr(paths, "staged", record)
+    return seen
+
+
+CHAIN = [(i, i + 1) for i in range(9)]
+GRAPHS = [CHAIN, [*CHAIN, (9, 4)], [(0, 0), (0, 1), (1, 2), (2, 0), (3, 3)], [], [(1, 2), (1, 2), (2, 3), (5, None)]]
+
+
+@pytest.mark.parametrize("pairs", GRAPHS)
+def test_closure_of_numbered_nodes(spark, stages, pairs):
+    want = {(a, b) for a, b in pairs if b is not None}
+    while True:
+        more = want | {(a, d) for a, b in want for c, d in want if b == c}
+        if more == want:
+            break
+        want = more
+    edges = spark.createDataFrame([(f"n{a}", None if b is None else f"n{b}") for a, b in pairs], "x string, y string")
+    assert sorted(map(tuple, paths.closure(edges).collect())) == sorted((f"n{a}", f"n{b}") for a, b in want)
+    assert all(kind == "bigint" for d in stages["path"] for _, kind in d)
