@@ -145,21 +145,51 @@ class MappedDataset:
             return None
         return F.lit(iri[len(head) :]).try_cast(dict(t.df.dtypes)[t.key])
 
+    def table_quads(self, name: str, rows: DataFrame | None = None) -> DataFrame:
+        """The triples of one table, or of some of its rows: one scan, exploded."""
+        t = self.tables[name]
+        s = node(self.subject(name))
+        cells = [F.struct(F.lit(T.RDF_TYPE).alias("p"), term(Value("node", F.lit(self.ns + name.capitalize()))).alias("o"))]
+        for iri, places in self.by_property.items():
+            for table, column, ref in places:
+                if table == name:
+                    cells.append(F.struct(F.lit(iri).alias("p"), term(self.value(table, column, ref)).alias("o")))
+        rows = t.df if rows is None else rows
+        return rows.select(s.alias("s"), F.explode(F.array(*cells)).alias("x")).select(F.lit(None).cast("string").alias("g"), "s", "x.p", "x.o").filter("o is not null")
+
     def quads_frame(self) -> DataFrame:
         """All triples, made: one scan a table, exploded. For patterns without a constant predicate."""
-        frames = []
-        for t in self.tables.values():
-            s = node(self.subject(t.name))
-            cells = [F.struct(F.lit(T.RDF_TYPE).alias("p"), term(Value("node", F.lit(self.ns + t.name.capitalize()))).alias("o"))]
-            for iri, places in self.by_property.items():
-                for table, column, ref in places:
-                    if table == t.name:
-                        cells.append(F.struct(F.lit(iri).alias("p"), term(self.value(table, column, ref)).alias("o")))
-            frames.append(t.df.select(s.alias("s"), F.explode(F.array(*cells)).alias("x")).select(F.lit(None).cast("string").alias("g"), "s", "x.p", "x.o").filter("o is not null"))
-        return reduce(DataFrame.union, frames)
+        return reduce(DataFrame.union, map(self.table_quads, self.tables))
 
     def as_quads(self) -> QuadDataset:
-        return QuadDataset(self.quads_frame().dropDuplicates(["s", "p", "o"]), self.prefixes)
+        """The triples as a set. Only rows that share their key can repeat one, so triples of others aren't compared."""
+        if any(sum(x[0] == t for x in places) > 1 for places in self.by_property.values() for t in self.tables) or sum(t.key is None for t in self.tables.values()) > 1:
+            return QuadDataset(self.quads_frame().dropDuplicates(["s", "p", "o"]), self.prefixes)
+        frames = []
+        for name, t in self.tables.items():
+            key = self.subject(name).col
+            whole = t.key is None or dict(t.df.dtypes)[t.key] in ("bigint", "int", "smallint", "tinyint")
+            key = key if whole else node(self.subject(name))
+            often = t.df.groupBy(key.alias("_key")).count().filter("count > 1").select("_key")
+            same = key.eqNullSafe(F.col("_key"))
+            frames.append(self.table_quads(name, t.df.join(often, same, "left_anti")))
+            frames.append(self.table_quads(name, t.df.join(often, same, "left_semi")).dropDuplicates(["s", "p", "o"]))
+        return QuadDataset(reduce(DataFrame.union, frames), self.prefixes)
+
+    def about(self, subjects: DataFrame) -> DataFrame:
+        """Triples of the subjects (s): rows are chosen by subject before triples are made."""
+        chosen = subjects.select(F.col("s").alias("_s"))
+        return reduce(DataFrame.union, [self.table_quads(name, t.df.join(chosen, node(self.subject(name)) == F.col("_s"), "left_semi")) for name, t in self.tables.items()])
+
+    def about_iris(self, iris: list[str]) -> DataFrame:
+        """Triples of given IRIs: a pushed filter on the key of the table that an IRI names."""
+        frames = []
+        for name, t in self.tables.items():
+            keys = [k for k in (self.parse_key(name, x) for x in iris) if k is not None]
+            if keys:
+                chosen = t.df.filter(F.col(t.key).isin(*keys))
+                frames.append(self.table_quads(name, chosen).filter(F.col("s").isin(*iris)))
+        return reduce(DataFrame.union, frames) if frames else self.quads_frame().filter(F.lit(False))
 
 
 TPCH = {

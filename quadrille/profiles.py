@@ -204,8 +204,8 @@ class Registry:
 def type_quads(quads: DataFrame, properties: DataFrame) -> DataFrame:
     """Literals take the datatype of their property's profile: not plain strings, not empty ones; xsd:anyURI makes IRIs.
 
-    The property table is as large as the schema, not the data; AQE broadcasts it
-    while it is small.
+    The property table is as large as the schema, not the data: it is broadcast, as
+    a shuffle by the few predicates would gather all quads in a few tasks.
     """
     types = properties.filter("primitive_type is not null").groupBy(F.col("property").alias("p")).agg(F.min("primitive_type").alias("_dt"))
     o, none = F.col("o"), F.lit(None).cast("string")
@@ -216,7 +216,7 @@ def type_quads(quads: DataFrame, properties: DataFrame) -> DataFrame:
         F.when(literal & (F.col("_dt") == T.XSD + "anyURI"), none).when(literal & F.col("_dt").isNotNull() & (F.col("_dt") != T.STRING), F.col("_dt")).otherwise(o["dt"]).alias("dt"),
         F.when(literal & F.col("_dt").isNotNull() & (F.col("_dt") != T.STRING), none).otherwise(o["lang"]).alias("lang"),
     )
-    return quads.join(types, "p", "left").select("g", "s", "p", made.alias("o"))
+    return quads.join(F.broadcast(types), "p", "left").select("g", "s", "p", made.alias("o"))
 
 
 def unknown_properties(quads: DataFrame, properties: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.dataset import map_tables
+from quadrille import terms as T
+from quadrille.dataset import QuadDataset, map_tables
 from quadrille.engine import query
 from quadrille.operators import paths
+from quadrille.profiles import type_quads
 
 NS = "PREFIX : <http://example.org/tpch#> "
 INF, NAN = math.inf, math.nan
@@ -129,3 +131,22 @@ def test_closure_of_numbered_nodes(spark, stages, pairs):
     edges = spark.createDataFrame([(f"n{a}", None if b is None else f"n{b}") for a, b in pairs], "x string, y string")
     assert sorted(map(tuple, paths.closure(edges).collect())) == sorted((f"n{a}", f"n{b}") for a, b in want)
     assert all(kind == "bigint" for d in stages["path"] for _, kind in d)
+
+
+def test_quads_of_a_table_compare_rows_that_share_a_key(spark, tmp_path):
+    rows = [(1, 5, "x"), (1, 5, "y"), (1, 5, "x"), (2, None, "x"), (None, 7, "z"), (None, 7, "z"), (3, 5, None)]
+    for name in ("t", "u"):
+        spark.createDataFrame(rows, f"{name}_key long, {name}_n long, {name}_s string").write.parquet(f"{tmp_path}/{name}.parquet")
+    d = map_tables(spark, str(tmp_path), {"t": ("t_key", {"t_n": "u"}), "u": (None, {})})
+    made = d.as_quads().quads
+    want = d.quads_frame().dropDuplicates(["s", "p", "o"])
+    assert made.columns == want.columns and sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
+    assert "LeftAnti" in plan(made)
+
+
+def test_types_of_the_profile_are_broadcast(spark):
+    quads = QuadDataset.of(spark, [(None, T.Iri("urn:a"), T.Iri("urn:p"), T.Literal("1", T.STRING)), (None, T.Iri("urn:a"), T.Iri("urn:q"), T.Literal("2", T.STRING))]).quads
+    types = spark.createDataFrame([("urn:p", T.FLOAT)], "property string, primitive_type string")
+    out = type_quads(quads, types)
+    assert "strategy=broadcast" in plan(out)
+    assert sorted((r["p"], r["o"]["dt"]) for r in out.collect()) == [("urn:p", T.FLOAT), ("urn:q", T.STRING)]
