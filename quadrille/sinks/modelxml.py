@@ -77,8 +77,8 @@ def _property(prefixes: dict[str, str], nested: Column) -> Column:
 
 def untyped_subjects(triples: DataFrame) -> DataFrame:
     """Subjects without a class: a full model should have none."""
-    typed = triples.filter(F.col("p") == T.RDF_TYPE).select("s").distinct()
-    return triples.select("s").distinct().join(typed, "s", "left_anti")
+    typed = F.max(F.coalesce(F.col("p") == T.RDF_TYPE, F.lit(False)))
+    return triples.groupBy("s").agg(typed.alias("typed")).filter("not typed").select("s")
 
 
 def document(data: QuadDataset, prefixes: dict[str, str], concrete: list[str] | None = None, version: str = VERSION) -> DataFrame:

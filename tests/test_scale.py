@@ -10,6 +10,7 @@ from quadrille.dataset import QuadDataset, map_tables
 from quadrille.engine import query
 from quadrille.operators import paths
 from quadrille.profiles import type_quads
+from quadrille.sinks.modelxml import untyped_subjects
 
 NS = "PREFIX : <http://example.org/tpch#> "
 INF, NAN = math.inf, math.nan
@@ -150,3 +151,10 @@ def test_types_of_the_profile_are_broadcast(spark):
     out = type_quads(quads, types)
     assert "strategy=broadcast" in plan(out)
     assert sorted((r["p"], r["o"]["dt"]) for r in out.collect()) == [("urn:p", T.FLOAT), ("urn:q", T.STRING)]
+
+
+def test_untyped_subjects_in_one_pass(spark):
+    rows = [("a", T.RDF_TYPE), ("a", "p"), ("b", "p"), ("b", "q"), ("c", T.RDF_TYPE), ("d", None), (None, "p")]
+    out = untyped_subjects(spark.createDataFrame(rows, "s string, p string"))
+    assert sorted(map(str, (r[0] for r in out.collect()))) == ["None", "b", "d"]
+    assert "Join" not in plan(out)
