@@ -81,22 +81,29 @@ def describe(c: Compiler, q: A.Query, ctx: Context) -> DataFrame:
         names = [v.name for v in q.describe if isinstance(v, Var)] if q.describe is not None else [n for n in rel.slots if not n.startswith("_:")]
         resources += [rel.df.select(node(rel.lookup(n)).alias("s")) for n in names if n in rel.slots]
     fixed = [x.value for x in q.describe or [] if isinstance(x, Iri)]
+    mapped = isinstance(c.dataset, MappedDataset) and not q.graphs and not q.named
+    triples = None if mapped else (c.quads(ctx) if not q.graphs else c.quads(Context(None, tuple(q.graphs), tuple(q.named))))[0].select("s", "p", "o")
+
+    def about(subjects: DataFrame) -> DataFrame:
+        return c.dataset.about(subjects).select("s", "p", "o") if mapped else triples.join(subjects, "s", "left_semi")
+
+    # staged, so that the joins know how few they are
+    found = staged(reduce(DataFrame.union, resources).filter("s is not null").distinct(), "describe-resources") if resources else None
+    named = c.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in fixed])).alias("s")) if fixed else None
+    parts = [] if found is None else [about(found)]
     if fixed:
-        resources.append(c.spark.createDataFrame([(x,) for x in fixed], "s string"))
-    quads, _ = c.quads(ctx) if not q.graphs else c.quads(Context(None, tuple(q.graphs), tuple(q.named)))
-    triples = quads.select("s", "p", "o")
-    if not resources:
-        return triples.filter(F.lit(False))
-    frontier = reduce(DataFrame.union, resources).filter("s is not null").distinct()
-    out = staged(triples.join(frontier, "s", "left_semi").distinct(), "describe")
-    seen = frontier
+        parts.append(c.dataset.about_iris(fixed).select("s", "p", "o") if mapped else triples.filter(F.col("s").isin(*fixed)))
+    if not parts:
+        return (c.dataset.quads_frame() if mapped else triples).select("s", "p", "o").filter(F.lit(False))
+    out = staged(reduce(DataFrame.union, parts).distinct(), "describe")
+    seen = reduce(DataFrame.union, [x for x in (found, named) if x is not None])
     while True:
         blank = out.filter((F.col("o.k") == T.BNODE_KIND)).select(F.col("o.v").alias("s")).distinct().join(seen, "s", "left_anti")
         blank = staged(blank, "describe-blank")
         if blank.isEmpty():
             return out
         seen = seen.union(blank)
-        out = staged(out.union(triples.join(blank, "s", "left_semi")).distinct(), "describe")
+        out = staged(out.union(about(blank)).distinct(), "describe")
 
 
 # updates

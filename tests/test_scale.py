@@ -158,3 +158,19 @@ def test_untyped_subjects_in_one_pass(spark):
     out = untyped_subjects(spark.createDataFrame(rows, "s string, p string"))
     assert sorted(map(str, (r[0] for r in out.collect()))) == ["None", "b", "d"]
     assert "Join" not in plan(out)
+
+
+def test_describe_makes_triples_of_chosen_rows_only(spark, odd, monkeypatch):
+    everything = odd.quads_frame().select("s", "p", "o").collect()
+    monkeypatch.setattr(type(odd), "quads_frame", lambda self: pytest.fail("made all triples"))
+    base = "http://example.org/tpch/"
+
+    def want(*subjects):
+        return sorted({str(r) for r in everything if r["s"] in {base + s for s in subjects}})
+
+    def got(text):
+        return sorted(map(str, query(odd, NS + text).collect()))
+
+    assert got(f"DESCRIBE <{base}a/3> <{base}b/1> <{base}a/03> <{base}a/x> <urn:none>") == want("a/3", "b/1")
+    assert got("DESCRIBE ?b WHERE { ?b :b_v ?w FILTER(?w > 3000) }") == want(*(f"b/{b}" for b, _, w in RIGHT if w is not None and over(w, 3000)))
+    assert got(f"DESCRIBE <{base}a/3> ?b WHERE {{ ?b :b_v 5.0e0 }}") == want("a/3", "b/5")
